@@ -13,11 +13,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ranksmith.llm.simhash_dedup import digests
+
+    return digests(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ranksmith.llm.substring_dedup import digests
 
     return digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_substring_dedup,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_simhash_dedup, op7_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}
