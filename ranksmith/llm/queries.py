@@ -25,5 +25,30 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_simhash_dedup, op7_substring_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ranksmith.llm.url_filter import filter_urls
+
+    return filter_urls(_table(spark, sf_dir, "pages"))
+
+
+OP10_SQL = """
+with parts as (
+  select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages
+), urls as (
+  select page_id,
+    coalesce(translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+  from parts
+), rules(verdict, h, p) as (
+  values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')
+), numbered as (select *, row_number() over () as n from urls),
+ranked as (
+  select u.*, r.h || r.p as rule, r.verdict,
+    row_number() over (partition by n order by length(r.h) + length(r.p) desc nulls last, length(r.h) desc, r.verdict) as place
+  from numbered u left join rules r on (u.host = r.h or ends_with(u.host, '.' || r.h)) and starts_with(u.path, r.p)
+)
+select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from ranked where place = 1
+"""
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_simhash_dedup, op7_substring_dedup, op10_url_filter)}
+ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL}
