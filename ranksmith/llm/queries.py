@@ -25,6 +25,32 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"))
 
 
+def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ranksmith.llm.mixture import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
+OP9_SQL = """
+with recursive counts as (select source, count(*) as n_docs from documents group by source),
+total as (select sum(n_docs) as all_docs, sum(pow(n_docs::double, 0.5)) as all_raw from counts),
+rates as (select source, pow(n_docs::double, 0.5) / all_raw * all_docs / n_docs as rate from counts, total),
+steps(source, rate, k, p, c) as (
+  select source, rate, 0, exp(-rate), exp(-rate) from rates
+  union all
+  select source, rate, k + 1, p * rate / (k + 1), c + p * rate / (k + 1) from steps where k < ceil(rate + sqrt(rate) * 10 + 16)
+),
+drawn as (
+  select d.doc_id, count(s.k) as copies
+  from (select doc_id, source, ('0x' || substr(md5('17|' || coalesce(doc_id::varchar, '')), 1, 13))::bigint / 4503599627370496.0::double as u from documents) d
+  join steps s on s.source is not distinct from d.source and s.c <= d.u
+  group by d.doc_id
+)
+select d.*, r.copy::int as copy, md5('17-place|' || coalesce(d.doc_id::varchar, '') || '|' || r.copy) as shuffle_key
+from documents d join drawn using (doc_id), lateral (select unnest(range(copies)) as copy) r
+"""
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ranksmith.llm.url_filter import filter_urls
 
@@ -50,5 +76,5 @@ ranked as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from ranked where place = 1
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_simhash_dedup, op7_substring_dedup, op10_url_filter)}
-ORACLE_SQL: dict[str, str] = {"op10_url_filter": OP10_SQL}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op5_simhash_dedup, op7_substring_dedup, op9_mixture, op10_url_filter)}
+ORACLE_SQL: dict[str, str] = {"op9_mixture": OP9_SQL, "op10_url_filter": OP10_SQL}
