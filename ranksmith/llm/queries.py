@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ranksmith.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ranksmith.llm.decontaminate import digests
 
@@ -82,5 +88,5 @@ ranked as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from ranked where place = 1
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_decontamination, op5_simhash_dedup, op7_substring_dedup, op9_mixture, op10_url_filter)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_decontamination, op5_simhash_dedup, op7_substring_dedup, op9_mixture, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op9_mixture": OP9_SQL, "op10_url_filter": OP10_SQL}
