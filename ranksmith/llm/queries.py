@@ -25,6 +25,12 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ranksmith.llm.language_id import identify_pages, train
+
+    return identify_pages(_table(spark, sf_dir, "pages"), train(_table(spark, sf_dir, "documents")))
+
+
 def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ranksmith.llm.simhash_dedup import digests
 
@@ -88,5 +94,5 @@ ranked as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from ranked where place = 1
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_decontamination, op5_simhash_dedup, op7_substring_dedup, op9_mixture, op10_url_filter)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_decontamination, op4_language_id, op5_simhash_dedup, op7_substring_dedup, op9_mixture, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op9_mixture": OP9_SQL, "op10_url_filter": OP10_SQL}
