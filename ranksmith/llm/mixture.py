@@ -45,10 +45,9 @@ def rates(docs: DataFrame, source: str = "source", targets: Mapping | None = Non
         rows = [(k, float(w)) for k, w in targets.items()]
         given = docs.sparkSession.createDataFrame(rows, "s string, raw double")
         counts = counts.join(given, counts["source"].cast("string").eqNullSafe(given["s"]), "left").select("source", "n_docs", F.coalesce("raw", F.lit(0.0)).alias("raw"))
-    total = counts.agg(F.sum("n_docs").alias("all_docs"), F.sum("raw").alias("all_raw"))
-    weight = F.when(F.col("all_raw") > 0, F.col("raw") / F.col("all_raw")).otherwise(0.0)
-    shares = counts.join(F.broadcast(total)).withColumn("weight", weight)  # total is one row
-    return shares.select("source", "n_docs", "weight", (F.col("weight") * F.col("all_docs") / F.col("n_docs")).alias("rate"))
+    total = counts.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("raw"), F.lit(0.0))).first()
+    weight = F.col("raw") / F.lit(float(total[1])) if total[1] > 0 else F.lit(0.0)
+    return counts.select("source", "n_docs", weight.alias("weight"), (weight * F.lit(float(total[0])) / F.col("n_docs")).alias("rate"))
 
 
 def steps(rate: Column) -> Column:
