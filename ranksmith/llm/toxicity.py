@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ranksmith.llm.arrays import chunks, mix, utf8
 
-MAX_ROWS = 6000
+MAX_ROWS = 3000
 BUCKETS = 1 << 18
 DIMENSIONS = 4
 GRAMS = (3, 6)
@@ -97,7 +97,7 @@ def _bags(texts: list[bytes], grams: tuple[int, int], buckets: int) -> list[tupl
         raw, at = padded(text, np.array([0, len(text)]))
         bucket = np.concatenate([b for _, b in features(raw, at, grams, buckets)] or [np.zeros(0, np.int64)])
         ids, n = np.unique(bucket, return_counts=True)
-        out.append((ids, (n / max(1, len(bucket))).astype(np.float32)))
+        out.append((ids.astype(np.int32), (n / max(1, len(bucket))).astype(np.float32)))
     return out
 
 
@@ -110,9 +110,12 @@ def fit(texts: list[bytes], labels: list[int], positive: float, grams: tuple[int
     rng = np.random.default_rng(seed)
     balance = (len(y) / 2 / np.bincount(y, minlength=2)).astype(np.float32)  # both classes weigh the same in the loss
     bags = _bags(texts, grams, buckets)
-    used, where = np.unique(np.concatenate([b for b, _ in bags]), return_inverse=True)
-    split = np.split(where, np.cumsum([len(b) for b, _ in bags])[:-1])
-    bags = [(w, s) for w, (_, s) in zip(split, bags)]
+    seen = np.zeros(buckets, bool)
+    for ids, _ in bags:
+        seen[ids] = True
+    used, place = np.flatnonzero(seen), np.cumsum(seen, dtype=np.int32) - 1
+    for ids, _ in bags:
+        ids[:] = place[ids]
     table = rng.normal(0, 0.1, (len(used), dimensions)).astype(np.float32)
     out, bias = rng.normal(0, 0.1, (dimensions, 2)).astype(np.float32), np.zeros(2, np.float32)
     params = [table, out, bias]
