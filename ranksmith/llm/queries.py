@@ -49,6 +49,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ranksmith.llm.token_counts import count_lines
+
+    return count_lines(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ranksmith.llm.mixture import mix_sources
 
@@ -100,5 +106,5 @@ ranked as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from ranked where place = 1
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_decontamination, op4_language_id, op5_simhash_dedup, op6_chat_format, op7_substring_dedup, op9_mixture, op10_url_filter)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_decontamination, op4_language_id, op5_simhash_dedup, op6_chat_format, op7_substring_dedup, op8_token_counts, op9_mixture, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op9_mixture": OP9_SQL, "op10_url_filter": OP10_SQL}
