@@ -19,6 +19,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ranksmith.llm.embedding_dedup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ranksmith.llm.decontaminate import digests
 
@@ -106,5 +112,5 @@ ranked as (
 select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from ranked where place = 1
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op3_decontamination, op4_language_id, op5_simhash_dedup, op6_chat_format, op7_substring_dedup, op8_token_counts, op9_mixture, op10_url_filter)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_embedding_dedup, op3_decontamination, op4_language_id, op5_simhash_dedup, op6_chat_format, op7_substring_dedup, op8_token_counts, op9_mixture, op10_url_filter)}
 ORACLE_SQL: dict[str, str] = {"op9_mixture": OP9_SQL, "op10_url_filter": OP10_SQL}
