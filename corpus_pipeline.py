@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ranksmith.llm import stages
 from ranksmith.llm.storage import materialize
 
-STAGES: list = []
-#: The stages hash windows, train a classifier and walk graphs, which SQL cannot express; see tests/llm/test_pipeline.py.
+#: (name, function); a function takes (spark, docs, sf_dir) and returns the documents that it keeps.
+STAGES = [
+    ("language_id", stages.language),
+    ("simhash_dedup", stages.near_duplicates),
+    ("substring_dedup", stages.repeated_passages),
+    ("decontamination", stages.contamination),
+    ("mixture", stages.mixture),
+]
+
+#: The stages train a classifier, walk graphs and hash windows, which SQL cannot express; tests/llm/test_pipeline.py holds
+#: their result against a brute-force version.
 ORACLE_SQL = None
 
 
