@@ -136,35 +136,45 @@ def _plus(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
 
-def identify(df: DataFrame, model: TextModel, text: Column, levels: list[Column], declared: Column | None = None, suffix: Column | None = None, keep: list[str] | None = None, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def identify(df: DataFrame, model: TextModel, text: Column | str, levels: list[Column], declared: Column | None = None, suffix: Column | None = None, keep: list[str] | None = None, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """The ``keep`` columns of ``df``, ``language, confidence, text_language, declared, prior`` (the host prior of ``language``).
 
-    ``levels`` go from coarse to fine; the whole table stands above the first. A null level value is a value of its own."""
+    ``levels`` go from coarse to fine; the whole table stands above the first. A null level value is a value of its own.
+    ``text`` is a column, or the name of one of the ``keep`` columns, which then travels once."""
     languages, keep = model.languages, df.columns if keep is None else keep
     kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(1))
+    held = isinstance(text, str) and text in keep
+    text_column = F.col(f"`{text}`") if isinstance(text, str) else text
     none = F.lit(None).cast("string")
     names = [f"_level{i}" for i in range(len(levels))]
-    rows = df.select(kept.alias("_kept"), text.alias("_text"), (none if declared is None else declared).alias("_declared"), (none if suffix is None else suffix).alias("_suffix"), *[x.cast("string").alias(n) for x, n in zip(levels, names)])
+    rows = df.select(kept.alias("_kept"), *([] if held else [text_column.alias("_text")]), (none if declared is None else declared).alias("_declared"), (none if suffix is None else suffix).alias("_suffix"), *[x.cast("string").alias(n) for x, n in zip(levels, names)])
     if not languages:
         return rows.select(*[F.col(f"_kept.`{c}`") for c in keep], F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), none.alias("text_language"), F.col("_declared").alias("declared"), F.lit(None).cast("double").alias("prior"))
     shared = df.sparkSession.sparkContext.broadcast(model)
-    others = [f for f in rows.schema.fields if f.name != "_text"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            offsets, data = utf8(batch.column("_text"))
-            for lo, hi in chunks(offsets, 1 << 20):
-                means, n = shared.value.means(data[offsets[lo] : offsets[hi]].tobytes(), offsets[lo : hi + 1] - offsets[lo])
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * means.shape[1], pa.int32()), pa.array(means.ravel()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(f.name)[lo:hi] for f in others], flat, pa.array(n, pa.int64())], [*[f.name for f in others], "_means", "_n"])
-
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["_means array<double>, _n long"])
-    read = rows.mapInArrow(run, schema)
-    weight = F.least(F.col("_n").cast("double"), F.lit(EFFECTIVE))
-    logs = _plus(F.transform("_means", lambda m: m * weight), _plus(_points_at(F.col("_declared"), languages, DECLARED_RIGHT), _points_at(F.col("_suffix"), languages, SUFFIX_RIGHT)))
-    read = read.withColumn("_logs", logs).withColumn("_own", _normal(F.col("_logs")))
-
-    sums = read.groupBy(*names).agg(*[F.sum(F.element_at("_own", i + 1)).alias(f"s{i}") for i in range(len(languages))])
+
+    def read_texts(rows: DataFrame, text_of) -> DataFrame:
+        others = [f for f in rows.schema.fields if f.name != "_text"]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                offsets, data = utf8(text_of(batch))
+                for lo, hi in chunks(offsets, 1 << 20):
+                    means, n = shared.value.means(data[offsets[lo] : offsets[hi]].tobytes(), offsets[lo : hi + 1] - offsets[lo])
+                    flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * means.shape[1], pa.int32()), pa.array(means.ravel()))
+                    yield pa.RecordBatch.from_arrays([*[batch.column(f.name)[lo:hi] for f in others], flat, pa.array(n, pa.int64())], [*[f.name for f in others], "_means", "_n"])
+
+        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["_means array<double>, _n long"])
+        weight = F.least(F.col("_n").cast("double"), F.lit(EFFECTIVE))
+        logs = _plus(F.transform("_means", lambda m: m * weight), _plus(_points_at(F.col("_declared"), languages, DECLARED_RIGHT), _points_at(F.col("_suffix"), languages, SUFFIX_RIGHT)))
+        return rows.mapInArrow(run, schema).withColumn("_logs", logs).withColumn("_own", _normal(F.col("_logs")))
+
+    def given(batch: pa.RecordBatch) -> pa.Array:
+        return batch.column("_text")
+
+    read = read_texts(rows, (lambda batch: batch.column("_kept").field(text)) if held else given)
+    # The kept columns stay behind where only sums are wanted.
+    summed = read_texts(df.select(text_column.alias("_text"), *[x.alias(c) for x, c in ((none if declared is None else declared, "_declared"), (none if suffix is None else suffix, "_suffix"))], *[x.cast("string").alias(n) for x, n in zip(levels, names)]), given)
+    sums = summed.groupBy(*names).agg(*[F.sum(F.element_at("_own", i + 1)).alias(f"s{i}") for i in range(len(languages))])
     sums = sums.select(*names, F.array(*[f"s{i}" for i in range(len(languages))]).alias("_sum"))
     table = sums
     for depth in range(len(names)):  # the sums of each coarser level, from those of the finest
@@ -217,6 +227,6 @@ def identify_pages(pages: DataFrame, model: TextModel, url: str = "url", html: s
 
 def keep_known_languages(docs: DataFrame, model: TextModel, text: str = "text", source: str = "source", min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``docs`` without those whose language is ``und``; the source stands for the host."""
-    out = identify(docs, model, F.col(text), [F.col(source)], min_confidence=min_confidence)
+    out = identify(docs, model, text, [F.col(source)], min_confidence=min_confidence)
     names = [f"c{i}" for i in range(len(docs.columns))]
     return out.toDF(*names, "language", "confidence", "text_language", "declared", "prior").filter(F.col("language") != UNKNOWN).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
