@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 U64 = np.uint64
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 ASCII_SPACE = np.zeros(256, dtype=bool)

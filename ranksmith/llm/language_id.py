@@ -158,7 +158,7 @@ def identify(df: DataFrame, model: TextModel, text: Column | str, levels: list[C
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 offsets, data = utf8(text_of(batch))
-                for lo, hi in chunks(offsets, 1 << 20):
+                for lo, hi in chunks(offsets, 1 << 18):
                     means, n = shared.value.means(data[offsets[lo] : offsets[hi]].tobytes(), offsets[lo : hi + 1] - offsets[lo])
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * means.shape[1], pa.int32()), pa.array(means.ravel()))
                     yield pa.RecordBatch.from_arrays([*[batch.column(f.name)[lo:hi] for f in others], flat, pa.array(n, pa.int64())], [*[f.name for f in others], "_means", "_n"])

@@ -179,7 +179,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8(batch.column("_text"))
-            found = [shared.value.scores(data[offsets[lo] : offsets[hi]].tobytes(), offsets[lo : hi + 1] - offsets[lo]) for lo, hi in chunks(offsets, 1 << 20)]
+            found = [shared.value.scores(data[offsets[lo] : offsets[hi]].tobytes(), offsets[lo : hi + 1] - offsets[lo]) for lo, hi in chunks(offsets, 1 << 19)]
             column = pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], column], [*keep, "score"])
 
