@@ -7,6 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ranksmith.functions.binding import let
+
 PRUNE_TYPES = ("none", "top_k", "max_ratio", "alpha_mass", "abs_value")
 CEILING_INGEST, CEILING_SEARCH, MAX_BYTE = 3.0, 16.0, 255
 TOKEN_SPACE = 32768
@@ -20,10 +22,20 @@ def literal(tokens: Mapping[str, float]) -> Column:
 
 
 def term_frequencies(tokens: Column) -> Column:
-    """A deterministic encoder: each distinct token of an array, with ``1 + ln(count)`` as weight."""
-    distinct = F.array_sort(F.array_distinct(tokens))
-    counts = F.transform(distinct, lambda t: 1 + F.log(F.size(F.filter(tokens, lambda x: x == t)).cast("double")))
-    return F.map_from_arrays(distinct, counts)
+    """A deterministic encoder: each distinct token of an array, with ``1 + ln(count)`` as weight.
+
+    Equal tokens are neighbours in the sorted array, so run lengths count them in linear time."""
+
+    def runs(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(1), F.size(s))).otherwise(F.array().cast("array<int>"))
+        return F.filter(places, lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, F.greatest(i - 1, F.lit(1)))))
+
+    def weights(s: Column, starts: Column) -> Column:
+        ends = F.concat(F.slice(starts, F.lit(2), F.size(starts)), F.array(F.size(s) + 1))
+        lengths = F.zip_with(starts, F.slice(ends, F.lit(1), F.size(starts)), lambda a, b: 1 + F.log((b - a).cast("double")))
+        return F.map_from_arrays(F.transform(starts, lambda i: F.element_at(s, i)), lengths)
+
+    return let(F.array_sort(tokens), lambda s: let(runs(s), lambda starts: weights(s, starts)))
 
 
 def dot(query: Column, document: Column) -> Column:
@@ -69,18 +81,22 @@ def prune(m: Column, prune_type: str, ratio: float | None = None) -> Column:
     if prune_type == "abs_value":
         return F.map_filter(m, lambda _, v: v >= ratio)
     if prune_type == "max_ratio":
-        return F.map_filter(m, lambda _, v: v >= F.array_max(F.map_values(m)) * ratio)
-    total = F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x)
+        return let(F.array_max(F.map_values(m)) * ratio, lambda least: F.map_filter(m, lambda _, v: v >= least))
     start = F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("n"))
-    # Prefixes whose mass stays within the budget; rounding of the running sum gets a small allowance.
-    within = F.aggregate(_ordered(m), start, lambda s, e: F.struct((s["run"] + e["value"]).alias("run"), F.when(s["run"] + e["value"] <= total * ratio + 1e-9, s["n"] + 1).otherwise(s["n"]).alias("n")))
-    return F.map_from_entries(F.slice(_ordered(m), F.lit(1), within["n"]))
+
+    def heaviest(ordered: Column, budget: Column) -> Column:
+        # Prefixes whose mass stays within the budget; rounding of the running sum gets a small allowance.
+        within = F.aggregate(ordered, start, lambda s, e: F.struct((s["run"] + e["value"]).alias("run"), F.when(s["run"] + e["value"] <= budget, s["n"] + 1).otherwise(s["n"]).alias("n")))
+        return F.map_from_entries(F.slice(ordered, F.lit(1), within["n"]))
+
+    total = F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x)
+    return let(total * ratio + 1e-9, lambda budget: let(_ordered(m), lambda ordered: heaviest(ordered, budget)))
 
 
 def split(m: Column, prune_type: str, ratio: float | None = None) -> tuple[Column, Column]:
     """The pruned map and the tokens that pruning took out."""
     high = prune(m, prune_type, ratio)
-    return high, F.map_filter(m, lambda k, _: ~F.map_contains_key(high, k))
+    return high, let(high, lambda h: F.map_filter(m, lambda k, _: ~F.map_contains_key(h, k)))
 
 
 def quantize(weight: Column, ceiling: float = CEILING_INGEST) -> Column:

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ranksmith.functions.binding import let
+
 WORD = r"[a-z0-9]+"
 DEFAULT_DELIMITER, DEFAULT_CHAR_LIMIT, DEFAULT_TOKEN_LIMIT, DEFAULT_CHUNK_LIMIT = "\n\n", 2048, 384, 100
 #: Tokenizers of the fixed-length chunker, as patterns of one token.
@@ -42,8 +44,13 @@ def limited(chunks: Column, limit: int = -1, others: int = 0) -> Column:
     if limit == -1:
         return chunks
     most = max(limit - others, 1)
-    rest = F.concat_ws("", F.slice(chunks, F.lit(most), F.greatest(F.size(chunks) - most + 1, F.lit(0))))
-    return F.when(F.size(chunks) <= most, chunks).otherwise(F.concat(F.slice(chunks, 1, most - 1) if most > 1 else F.array().cast("array<string>"), F.array(rest)))
+
+    def cut(c: Column) -> Column:
+        rest = F.concat_ws("", F.slice(c, F.lit(most), F.greatest(F.size(c) - most + 1, F.lit(0))))
+        head = F.slice(c, 1, most - 1) if most > 1 else F.array().cast("array<string>")
+        return F.when(F.size(c) <= most, c).otherwise(F.concat(head, F.array(rest)))
+
+    return let(chunks, cut)
 
 
 def chunk_delimiter(text: Column, delimiter: str = DEFAULT_DELIMITER, limit: int = -1) -> Column:
@@ -67,11 +74,13 @@ def chunk_fixed_char(text: Column, char_limit: int = DEFAULT_CHAR_LIMIT, overlap
     _check_limit(limit)
     if char_limit <= 0:
         raise ValueError("char_limit must be positive")
-    starts = _starts(F.length(text), char_limit, overlap_rate)
-    pieces = F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(char_limit)))
-    if limit != -1:
-        kept = F.slice(starts, 1, limit)
-        pieces = F.transform(kept, lambda s, i: F.substring(text, s + 1, F.when((i == limit - 1) & (F.size(starts) > limit), F.length(text)).otherwise(F.lit(char_limit))))
+
+    def cut(starts: Column) -> Column:
+        if limit == -1:
+            return F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(char_limit)))
+        return F.transform(F.slice(starts, 1, limit), lambda s, i: F.substring(text, s + 1, F.when((i == limit - 1) & (F.size(starts) > limit), F.length(text)).otherwise(F.lit(char_limit))))
+
+    pieces = let(_starts(F.length(text), char_limit, overlap_rate), cut)
     return F.when(F.length(text) > 0, pieces).otherwise(F.array().cast("array<string>"))
 
 
@@ -92,14 +101,15 @@ def chunk_fixed_token(text: Column, token_limit: int = DEFAULT_TOKEN_LIMIT, over
     head = F.regexp_extract(text, rf"^(?:(?!{token})[\s\S])*", 0)
     parts = F.regexp_extract_all(text, F.lit(rf"((?:{token}){tail})"), 1)
     parts = F.when(F.size(parts) > 0, F.transform(parts, lambda p, i: F.when(i == 0, F.concat(head, p)).otherwise(p))).otherwise(F.array(text))
-    starts = _starts(F.size(parts), token_limit, overlap_rate)
 
-    def join(start: Column, last: Column) -> Column:
-        size = F.when(last, F.size(parts)).otherwise(F.lit(token_limit))
-        return F.concat_ws("", F.slice(parts, start + 1, size))
+    def cut(p: Column, starts: Column) -> Column:
+        def join(start: Column, last: Column) -> Column:
+            return F.concat_ws("", F.slice(p, start + 1, F.when(last, F.size(p)).otherwise(F.lit(token_limit))))
+
+        allowed = starts if limit == -1 else F.slice(starts, 1, limit)
+        return F.transform(allowed, lambda s, i: join(s, (i == limit - 1) & (F.size(starts) > limit)))
 
-    allowed = starts if limit == -1 else F.slice(starts, 1, limit)
-    pieces = F.transform(allowed, lambda s, i: join(s, (i == limit - 1) & (F.size(starts) > limit)))
+    pieces = let(parts, lambda p: let(_starts(F.size(p), token_limit, overlap_rate), lambda starts: cut(p, starts)))
     return F.when(F.length(text) > 0, pieces).otherwise(F.array().cast("array<string>"))
 
 

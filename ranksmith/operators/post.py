@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranksmith.functions import text as T
+from ranksmith.functions.binding import let
 
 MAX_RERANK_FIELDS = 50
 RERANK_TYPES = ("by_field", "ml")
@@ -89,13 +90,16 @@ def term_spans(text: Column, terms: Sequence[str]) -> Column:
     found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
-    def add(s: Column, i: Column) -> Column:
-        begin = s["at"] + F.length(F.element_at(gaps, i))
-        end = begin + F.length(F.element_at(found, i))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("out"))
+    def walk(g: Column, f: Column) -> Column:
+        def add(s: Column, i: Column) -> Column:
+            begin = s["at"] + F.length(F.element_at(g, i))
+            end = begin + F.length(F.element_at(f, i))
+            return F.struct(end.alias("at"), F.concat(s["out"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("out"))
 
-    places = F.when(F.size(found) > 0, F.sequence(F.lit(1), F.size(found))).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, start, add, lambda s: s["out"])
+        places = F.when(F.size(f) > 0, F.sequence(F.lit(1), F.size(f))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(places, start, add, lambda s: s["out"])
+
+    return let(gaps, lambda g: let(found, lambda f: walk(g, f)))
 
 
 def highlight(text: Column, spans: Column, pre: str = "<em>", post: str = "</em>", encoder: str = "default", no_match_size: int = 0) -> Column:
