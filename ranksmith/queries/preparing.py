@@ -1 +1,185 @@
-QUERIES, ORACLE_SQL = {}, {}
+"""Ingest transforms and post-processing over ``documents``, ``pages`` and ``conversations``."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ranksmith.functions import text
+from ranksmith.operators import ingest, models, post, retrieval
+from ranksmith.queries import ranking
+from ranksmith.queries.registry import Registry, Tables
+from ranksmith.streaming import stats
+
+R = Registry()
+
+
+def _chunks(column, table="documents", key="doc_id", field="text"):
+    def build(t: Tables) -> DataFrame:
+        rows = getattr(t, table).select(F.col(key).alias("doc_id"), F.posexplode(column(F.col(field))).alias("place", "chunk"))
+        return rows
+
+    return build
+
+
+# The delimiter stays at the end of a piece; an empty rest is no piece.
+_DELIMITED = """parts as (select doc_id, string_split({text}, '{d}') as p from {table}),
+pieces as (select doc_id, list_transform(range(1, len(p) + 1), lambda i: case when i < len(p) then p[i] || '{d}' else p[i] end) as c from parts),
+chunks as (select doc_id, list_filter(c, lambda x: x <> '') as c from pieces)"""
+_EXPLODE = "select doc_id, (u.i - 1)::int as place, c[u.i] as chunk from chunks, lateral (select unnest(range(1, len(c) + 1)) as i) u"
+_LIMIT = "list_concat(c[1:{k}], [array_to_string(c[{n}:], '')])"
+
+
+def _delimited(d: str, table: str = "documents", text_: str = "text") -> str:
+    return _DELIMITED.format(text=text_, d=d, table=table)
+
+
+def _fixed(limit: int, step: int) -> str:
+    return f"chunks as (select doc_id, case when length(text) > 0 then list_transform(range(0, 1 + greatest(0, ceil((length(text) - {limit})::double / {step}))::bigint), lambda i: substr(text, i * {step} + 1, {limit})) else [] end as c from documents)"
+
+
+R.add("chunk_delimiter", _chunks(lambda c: text.chunk_delimiter(c, "\n")), f"with {_delimited(chr(10))} {_EXPLODE}")
+R.add("chunk_fixed_char", _chunks(lambda c: text.chunk_fixed_char(c, 500, 0.2)), f"with {_fixed(500, 400)} {_EXPLODE}")
+R.add(
+    "chunk_limit",
+    _chunks(lambda c: text.chunk_delimiter(c, ".", limit=4)),
+    f"with {_delimited('.')}, cut as (select doc_id, case when len(c) <= 4 then c else {_LIMIT.format(k=3, n=4)} end as c from chunks) {_EXPLODE.replace('from chunks', 'from cut')}",
+)
+_TOKENS = """spans as (select doc_id, text, regexp_extract_all(text, '\\S+[ \\t\\n\\x0B\\f\\r]*') as p, regexp_extract(text, '^[ \\t\\n\\x0B\\f\\r]*') as head from documents),
+pieces as (select doc_id, case when len(p) > 0 then list_concat([head || p[1]], p[2:]) else [text] end as p, text from spans),
+chunks as (select doc_id, case when length(text) > 0 then list_transform(range(0, 1 + greatest(0, ceil((len(p) - 100)::double / 80))::bigint), lambda i: array_to_string(p[i * 80 + 1 : i * 80 + 100], '')) else [] end as c from pieces)"""
+R.add("chunk_fixed_token", _chunks(lambda c: text.chunk_fixed_token(c, 100, 0.2, "whitespace")), f"with {_TOKENS} {_EXPLODE}")
+R.add("chunk_fixed_token_standard", _chunks(lambda c: text.chunk_fixed_token(c, 120, 0.0, "standard")))
+R.add(
+    "chunk_list",
+    lambda t: t.conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts")).select("doc_id", F.posexplode(text.chunk_list(F.col("texts"), lambda x: text.chunk_delimiter(x, "."))).alias("place", "chunk")),
+    """with parts as (select conv_id as doc_id, turn, string_split(text, '.') as p from conversations),
+pieces as (select doc_id, turn, list_filter(list_transform(range(1, len(p) + 1), lambda i: case when i < len(p) then p[i] || '.' else p[i] end), lambda x: x <> '') as c from parts),
+chunks as (select doc_id, flatten(list(c order by turn)) as c from pieces group by doc_id) """
+    + _EXPLODE,
+)
+R.add(
+    "chunk_cascade",
+    _chunks(lambda c: text.cascade(c, text.chunker("delimiter", delimiter="\n"), text.chunker("fixed_char_length", char_limit=200))),
+    f"""with {_delimited(chr(10))}, cut as (select doc_id, flatten(list_transform(c, lambda x: list_transform(range(0, 1 + greatest(0, ceil((length(x) - 200)::double / 200))::bigint), lambda i: substr(x, i * 200 + 1, 200)))) as c from chunks)
+{_EXPLODE.replace('from chunks', 'from cut')}""",
+)
+
+
+def registry() -> models.ModelRegistry:
+    out = models.ModelRegistry()
+    out.register("hash", models.Model("hash", "dense", load=lambda: models.hashing_encoder(32), dimension=32))
+    return out
+
+
+R.add("text_embedding", lambda t: ingest.text_embedding(t.benchmark, registry(), "hash", {"text": "vector"}))
+R.add("text_image_embedding", lambda t: ingest.image_embedding(t.pages.select("page_id", "url", "html"), registry(), "hash", "vector", "url", "html").select("page_id", "vector"))
+
+
+def _encode(c):
+    """Length and digest as a stand-in for an embedding, so that SQL can follow."""
+    return F.array(F.length(c).cast("double"), F.length(F.replace(c, F.lit("e"), F.lit(""))).cast("double"))
+
+
+def _semantic(t: Tables) -> DataFrame:
+    return ingest.semantic_ingest(t.documents.select("doc_id", "text"), "text", _encode, lambda c: text.chunk_delimiter(c, "\n"), ("m1", "toy", "dense"))
+
+
+def _semantic_rows(t: Tables) -> DataFrame:
+    info = F.col("text_semantic_info")
+    rows = _semantic(t).select("doc_id", info["model"]["id"].alias("model"), F.posexplode_outer(info["chunks"]).alias("place", "c"))
+    return rows.select("doc_id", "model", "place", F.col("c.text").alias("chunk"), F.col("c.embedding").alias("embedding"))
+
+
+_BLANKLESS = "chunks2 as (select doc_id, list_filter(c, lambda x: length(trim(x, ' ')) > 0) as c from chunks)"
+R.add(
+    "semantic_ingest",
+    _semantic_rows,
+    f"""with {_delimited(chr(10))}, {_BLANKLESS}
+select doc_id, 'm1' as model, (u.i - 1)::int as place, c[u.i] as chunk, [length(c[u.i])::double, length(replace(c[u.i], 'e', ''))::double] as embedding from chunks2, lateral (select unnest(range(1, len(c) + 1)) as i) u""",
+)
+R.add(
+    "semantic_dense_max",
+    lambda t: retrieval.nested_max(_semantic_rows(t).select("doc_id", F.round(F.element_at("embedding", 1) / (1 + F.element_at("embedding", 2)), 6).alias("score"))),
+    f"with {_delimited(chr(10))}, {_BLANKLESS}, each as (select doc_id, unnest(c) as x from chunks2) select doc_id, max(round(length(x)::double / (1 + length(replace(x, 'e', ''))), 6)) as score from each group by doc_id",
+)
+
+
+def _sparse_chunks(t: Tables) -> DataFrame:
+    from ranksmith.functions import sparse
+
+    chunks = t.documents.select("doc_id", F.explode(text.chunk_delimiter(F.col("text"), "\n")).alias("chunk"))
+    scored = retrieval.sparse_match(chunks.withColumn("tokens", sparse.term_frequencies(text.tokens(F.col("chunk")))), {"the": 1.5, "of": 0.5})
+    return retrieval.nested_max(scored)
+
+
+R.add(
+    "semantic_sparse_max",
+    _sparse_chunks,
+    f"""with {_delimited(chr(10))}, each as (select doc_id, unnest(c) as x from chunks), w as (select doc_id, regexp_extract_all(lower(x), '[a-z0-9]+') as w from each),
+n as (select doc_id, len(list_filter(w, lambda x: x = 'the'))::double as a, len(list_filter(w, lambda x: x = 'of'))::double as b from w)
+select doc_id, max(round(case when b > 0 then 0.5 * (1 + ln(b)) else 0.0 end + case when a > 0 then 1.5 * (1 + ln(a)) else 0.0 end, 6)) as score from n where a > 0 or b > 0 group by doc_id""",
+)
+
+
+def _reuse(t: Tables) -> DataFrame:
+    old = t.documents.filter("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit("changed")).otherwise(F.col("text")).alias("text")).withColumn("embedding", F.array(F.lit(-1.0), F.lit(-1.0)))
+    return ingest.reuse_embeddings(t.documents.select("doc_id", "text"), old, "text", "embedding", _encode).select("doc_id", "embedding", "reused")
+
+
+R.add(
+    "skip_existing",
+    _reuse,
+    """select doc_id, doc_id % 3 <> 0 and doc_id % 5 <> 0 as reused,
+case when doc_id % 3 <> 0 and doc_id % 5 <> 0 then [-1.0::double, -1.0] else [length(text)::double, length(replace(text, 'e', ''))::double] end as embedding from documents""",
+)
+
+# Reranking, highlighting, diversification.
+R.add(
+    "rerank_by_field",
+    lambda t: post.rerank_by_field(ranking.with_fields(t, ranking.fused(t)), "n_chars", keep_previous=True, remove_target=True).select("doc_id", "score", "previous_score"),
+    f"{ranking.fused_sql()} select doc_id, n_chars::double as score, fused.score as previous_score from fused join documents using (doc_id)",
+)
+R.add(
+    "rerank_overlap",
+    lambda t: post.rerank(ranking.fused(t).join(t.documents.select("doc_id", "text", "lang"), "doc_id"), "Pathetic idiot of en", ["text", "lang"]).select("doc_id", "score"),
+    f"""{ranking.fused_sql()}, w as (select doc_id, regexp_extract_all(lower(text || ' ' || lang), '[a-z0-9]+') as w from fused join documents using (doc_id))
+select doc_id, round((list_contains(w, 'pathetic')::int + list_contains(w, 'idiot')::int + list_contains(w, 'of')::int + list_contains(w, 'en')::int) / 4.0::double, 6) as score from w""",
+)
+R.add("mmr_rerank", lambda t: post.mmr(ranking.fused(t).join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").withColumn("query_id", F.lit(0)), 20))
+_WORDS = ("idiot", "pathetic", "the")
+
+
+def _highlighted(t: Tables, **more) -> DataFrame:
+    return t.documents.select("doc_id", post.highlight(F.col("text"), post.term_spans(F.col("text"), _WORDS), **more).alias("highlight"))
+
+
+R.add("highlight_tags", lambda t: _highlighted(t, no_match_size=30))
+R.add("highlight_html", lambda t: t.pages.select("page_id", post.highlight(F.col("html"), post.term_spans(F.col("html"), ("meta", "charset")), encoder="html", no_match_size=20).alias("highlight")))
+R.add(
+    "highlight_no_match",
+    lambda t: t.documents.select("doc_id", post.highlight(F.col("text"), post.term_spans(F.col("text"), ("zzzz",)), no_match_size=40).alias("highlight")),
+    "select doc_id, substr(text, 1, 40) as highlight from documents",
+)
+R.add(
+    "html_escape",
+    lambda t: t.pages.select("page_id", text.escape_html(F.col("html")).alias("html")),
+    "select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') as html from pages",
+)
+
+# Event statistics.
+R.add("stats_totals", lambda t: stats.totals(t.events), "select event_type as name, count(*) as total, max(ts) as last_event from events group by 1")
+R.add(
+    "stats_trailing",
+    lambda t: stats.trailing(t.events),
+    """with m as (select event_type as name, floor(epoch(ts) / 60)::bigint as minute, count(*) as n from events group by all)
+select name, minute, n, coalesce(sum(n) over (partition by name order by minute range between 5 preceding and 1 preceding), 0)::bigint as trailing from m""",
+)
+R.add(
+    "stats_snapshot",
+    lambda t: stats.snapshot(t.events, "2024-01-15 12:00:30").select("name", "total", "trailing", "minutes_since_last_event"),
+    """select event_type as name, count(*) as total, count(*) filter (floor(epoch(ts) / 60) >= floor(epoch(timestamp '2024-01-15 12:00:30') / 60) - 5 and floor(epoch(ts) / 60) < floor(epoch(timestamp '2024-01-15 12:00:30') / 60)) as trailing,
+floor((epoch(timestamp '2024-01-15 12:00:30')::bigint - floor(epoch(max(ts)))::bigint) / 60.0)::bigint as minutes_since_last_event from events group by 1""",
+)
+
+QUERIES, ORACLE_SQL = R.queries, R.sql
