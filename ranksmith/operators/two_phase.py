@@ -16,11 +16,13 @@ DEFAULTS = {"enabled": True, "prune_type": "max_ratio", "prune_ratio": 0.4, "exp
 def split_query(tokens: Mapping[str, float], prune_type: str, ratio: float) -> tuple[dict[str, float], dict[str, float]]:
     """Heavy and light query tokens by a prune rule, on the driver."""
     sparse.check_prune(prune_type, ratio)
+    if prune_type == "none" or not tokens:
+        return dict(tokens), {}
     ordered = sorted(tokens.items(), key=lambda x: (-x[1], x[0]))
     total, run, keep = sum(tokens.values()), 0.0, []
     for i, (t, w) in enumerate(ordered):
         run += w
-        fine = {"none": True, "top_k": i < ratio, "max_ratio": w >= ratio * ordered[0][1], "abs_value": w >= ratio, "alpha_mass": run <= total * ratio + 1e-9}[prune_type]
+        fine = {"top_k": i < ratio, "max_ratio": w >= ratio * ordered[0][1], "abs_value": w >= ratio, "alpha_mass": run <= total * ratio + 1e-9}[prune_type]
         if fine:
             keep.append(t)
     return {t: tokens[t] for t in keep}, {t: w for t, w in tokens.items() if t not in keep}
