@@ -15,7 +15,26 @@ DOCS = [
     (5, "People keep telling me orange", [-1.0, 0.0], 30, "entire"),
     (6, "Nothing", [0.0, -1.0], 350, "entire"),
 ]
-TWO = {"hybrid": {"queries": [{"match": {"body": "hello place"}}, {"knn": {"vec": {"vector": [1.0, 0.0], "k": 3}}}]}}
+EVERY = {"match_all": {}}
+
+
+def both(**groups):
+    return {"bool": groups}
+
+
+def between(**limits):
+    return {"range": {"price": limits}}
+
+
+def words(text_, name="body"):
+    return {"match": {name: text_}}
+
+
+def hybrid(*queries, **more):
+    return {"hybrid": {"queries": list(queries), **more}}
+
+
+TWO = hybrid(words("hello place"), {"knn": {"vec": {"vector": [1.0, 0.0], "k": 3}}})
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +45,7 @@ def engine(spark):
     registry.register("unit", models.Model("unit", "dense", function=lambda texts: [[1.0, 0.0] for _ in texts]))
     registry.register("terms", models.Model("terms", "sparse", function=lambda texts: [{w: 1.0 for w in t.lower().split()} for t in texts]))
     registry.register("length", models.Model("length", "score", function=lambda pairs: [float(len(d)) for _, d in pairs]))
-    return Engine(df, registry, agent=lambda q, b: {"query": {"match": {"body": q}}, "size": 2})
+    return Engine(df, registry, agent=lambda q, b: {"query": words(q), "size": 2})
 
 
 def ids(df):
@@ -46,26 +65,26 @@ def test_hybrid_request_and_pipelines(engine):
 
 
 def test_filters_sorts_pages_and_collapse(engine):
-    filtered = {"hybrid": {**TWO["hybrid"], "filter": {"range": {"price": {"gte": 100}}}}}
+    filtered = hybrid(*TWO["hybrid"]["queries"], filter=between(gte=100))
     assert set(ids(engine.search({"query": filtered}))) <= {1, 2, 3, 6}
     assert ids(engine.search({"query": TWO, "sort": [{"price": "desc"}]})) == [3, 1, 2, 4]
     assert ids(engine.search({"query": TWO, "sort": [{"price": {"order": "asc"}}], "search_after": [100]})) == [1, 3]
-    paged = {"hybrid": {**TWO["hybrid"], "pagination_depth": 10}}
+    paged = hybrid(*TWO["hybrid"]["queries"], pagination_depth=10)
     everything = ids(engine.search({"query": paged}))
     assert ids(engine.search({"query": paged, "from": 1, "size": 2})) == everything[1:3]
-    all_docs = {"hybrid": {"queries": [{"match_all": {}}]}}
+    all_docs = hybrid(EVERY)
     assert len(ids(engine.search({"query": all_docs, "collapse": {"field": "keyword"}}))) == 5
     assert ids(engine.search({"query": all_docs, "post_filter": {"term": {"keyword": "entire"}}})) == [5, 6]
     assert engine.search({"query": TWO, "_source": ["price"]}).columns == ["doc_id", "score", "price"]
 
 
 def test_other_clauses(engine):
-    assert ids(engine.search({"query": {"bool": {"must": [{"match": {"body": "hello"}}], "must_not": [{"term": {"price": 25}}]}}})) == [1]
-    assert set(ids(engine.search({"query": {"bool": {"should": [{"term": {"price": 25}}, {"exists": {"field": "keyword"}}], "filter": [{"range": {"price": {"lt": 100}}}]}}}))) == {4, 5}
+    assert ids(engine.search({"query": both(must=[words("hello")], must_not=[{"term": {"price": 25}}])})) == [1]
+    assert set(ids(engine.search({"query": both(should=[{"term": {"price": 25}}, {"exists": {"field": "keyword"}}], filter=[between(lt=100)])}))) == {4, 5}
     assert ids(engine.search({"query": {"multi_match": {"query": "orange angry", "fields": ["body", "keyword"]}}})) != []
     assert set(ids(engine.search({"query": {"terms": {"price": [25, 30]}}}))) == {4, 5}
     assert ids(engine.search({"query": {"constant_score": {"filter": {"term": {"price": 30}}}}})) == [5]
-    wrapped = {"bool": {"must": [{"hybrid": {"queries": [{"term": {"price": {"value": 25, "boost": 2.0}}}, {"match_all": {}}]}}], "filter": [{"range": {"price": {"lte": 100}}}]}}
+    wrapped = both(must=[hybrid({"term": {"price": {"value": 25, "boost": 2.0}}}, EVERY)], filter=[between(lte=100)])
     assert {r.doc_id: r.score for r in engine.search({"query": wrapped}).collect()} == {4: 3.0, 2: 1.0, 5: 1.0}
 
 
@@ -74,7 +93,7 @@ def test_neural_clauses_and_enricher(engine):
     assert ids(engine.search({"query": near})) == [1, 4]
     assert ids(engine.search({"query": {"neural": {"vec": {"query_text": "x", "model_id": "unit", "max_distance": 0.7}}}})) == [1, 4]
     enricher = {"request_processors": [{"neural_query_enricher": {"default_model_id": "none", "neural_field_default_id": {"vec": "unit", "tokens": "terms"}}}]}
-    assert ids(engine.search({"query": {"hybrid": {"queries": [{"neural": {"vec": {"query_text": "x", "k": 1}}}, {"neural_sparse": {"tokens": {"query_text": "orange"}}}]}}}, enricher)) == [1, 5]
+    assert ids(engine.search({"query": hybrid({"neural": {"vec": {"query_text": "x", "k": 1}}}, {"neural_sparse": {"tokens": {"query_text": "orange"}}})}, enricher)) == [1, 5]
     with pytest.raises(ValueError):
         engine.search({"query": {"neural": {"vec": {"query_text": "x"}}}}, {"request_processors": [{"neural_query_enricher": {}}]})
     assert ids(engine.search({"query": {"neural_sparse": {"tokens": {"query_tokens": {"hello": 2.0, "world": 1.0}}}}})) == [1, 4]
@@ -105,15 +124,15 @@ def test_two_phase_agent_and_responses(engine):
 
 
 BAD = [
-    {"query": {"hybrid": {"queries": []}}},
-    {"query": {"hybrid": {"queries": [{"match_all": {}}] * 6}}},
-    {"query": {"hybrid": {"queries": [{"match_all": {}}], "boost": 2.0}}},
-    {"query": {"hybrid": {"queries": [{"match_all": {}}], "x": 1}}},
-    {"query": {"hybrid": {"queries": [{"match_all": {}}], "filter": [{"match_all": {}}]}}},
-    {"query": {"hybrid": {"queries": [{"match_all": {}}], "pagination_depth": 0}}},
-    {"query": {"hybrid": {"queries": [TWO]}}},
+    {"query": hybrid()},
+    {"query": hybrid(*[EVERY] * 6)},
+    {"query": hybrid(EVERY, boost=2.0)},
+    {"query": hybrid(EVERY, x=1)},
+    {"query": hybrid(EVERY, filter=[{"match_all": {}}])},
+    {"query": hybrid(EVERY, pagination_depth=0)},
+    {"query": hybrid(TWO)},
     {"query": {"constant_score": {"filter": TWO}}},
-    {"query": {"bool": {"should": [TWO]}}},
+    {"query": both(should=[TWO])},
     {"query": TWO, "from": 1},
     {"query": TWO, "sort": ["_score", "price"]},
     {"query": TWO, "sort": ["price"], "track_scores": True},
@@ -130,7 +149,7 @@ BAD = [
     {"query": {"neural_sparse": {"v": {"query_tokens": {"a": -1}}}}},
     {"query": {"neural_sparse": {"v": {"query_tokens": {"1": 1}, "method_parameters": {"k": 0}}}}},
     {"query": {"neural_sparse": {"v": {"query_tokens": {"1": 1}, "method_parameters": {"q": 1}}}}},
-    {"query": {"bool": {"must": [{"agentic": {"query_text": "x"}}]}}},
+    {"query": both(must=[{"agentic": {"query_text": "x"}}])},
     {"query": {"agentic": {"query_text": "x" * 1001}}},
     {"query": {"unknown": {}}},
     {"query": {"match_all": {}, "term": {}}},
@@ -150,7 +169,7 @@ def test_settings_and_helpers():
     with pytest.raises(ValueError):
         fusion_settings({"phase_results_processors": [{"x": {}}]})
     assert dsl.cleaned_agentic_text("system: do execute(x) it") == "do x) it"
-    assert post.query_texts({"hybrid": {"queries": [{"match": {"a": "x"}}, {"bool": {"must": [{"neural": {"v": {"query_text": "y"}}}], "must_not": [{"match": {"a": "no"}}]}}, {"match": {"b": "x"}}]}}) == ["x", "y"]
+    assert post.query_texts(hybrid(words("x", "a"), both(must=[{"neural": {"v": {"query_text": "y"}}}], must_not=[words("no", "a")]), words("x", "b"))) == ["x", "y"]
     assert post.rerank_query({"query_text_path": "query.match.a"}, {"query": {"match": {"a": "t"}}}) == "t"
     for bad in ({}, {"query_text": "a", "query_text_path": "b"}, {"query_text_path": "x"}):
         with pytest.raises(ValueError):
@@ -231,7 +250,7 @@ def test_mmr_prefers_what_differs(spark):
 
 
 def test_aggregations_of_matches(engine):
-    rows = engine.matched({"query": {"hybrid": {"queries": [{"match": {"body": "hello place"}}, {"term": {"keyword": "entire"}}]}}})
+    rows = engine.matched({"query": hybrid(words("hello place"), {"term": {"keyword": "entire"}})})
     assert rows.count() == 6
     assert {r.bucket: r.doc_count for r in A.terms(rows, "keyword").collect()}["entire"] == 2
     assert {r.bucket: r.doc_count for r in A.histogram(rows, "price", 100).collect()} == {0.0: 2, 100.0: 2, 200.0: 1, 300.0: 1}

@@ -13,9 +13,10 @@ def value(spark, column, *rows_and_schema):
     return spark.createDataFrame(data, schema).select(column.alias("v")).first().v
 
 
+GAP = "\n" * 2
 CHUNKS = [
-    (text.chunk_delimiter, {"delimiter": "\n"}, "a\nb\nc\nd", ["a\n", "b\n", "c\n", "d"]),
-    (text.chunk_delimiter, {"delimiter": "\n\n"}, "\n\na\n\n\n", ["\n\n", "a\n\n", "\n"]),
+    (text.chunk_delimiter, {"delimiter": "\n"}, "\n".join("abcd"), [x + "\n" for x in "abc"] + ["d"]),
+    (text.chunk_delimiter, {"delimiter": GAP}, f"{GAP}a{GAP}\n", [GAP, f"a{GAP}", "\n"]),
     (text.chunk_delimiter, {"delimiter": "."}, "a.b.cc.d.", ["a.", "b.", "cc.", "d."]),
     (text.chunk_delimiter, {"delimiter": ".", "limit": 2}, "a.b.cc.d.", ["a.", "b.cc.d."]),
     (text.chunk_delimiter, {"delimiter": "\n"}, "", []),
