@@ -147,9 +147,10 @@ def fingerprint_links(fps: DataFrame, most: int = MAX_BITS, big: int = BIG_CELL)
     """A forest (``a, b``) with the connectivity of all links among the distinct fingerprints ``fp``."""
     if not 0 <= most <= MAX_BITS:
         raise ValueError(f"the grid finds links of up to {MAX_BITS} bits")
-    # Fingerprints are small and grow 33-fold here, so they are dealt out first and not by their own size.
+    # Fingerprints are small and grow 33-fold here, so they are dealt to a fixed number of tasks and not by their own size
+    # (by a hash: dealing by the fingerprint itself is left out where they come from an aggregation by it).
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    filed = fps.repartition(n, "fp").select("fp", F.explode(grid_points(F.col("fp"))).alias("key")).repartition("key").sortWithinPartitions("key")
+    filed = fps.repartition(n, F.xxhash64("fp")).select("fp", F.explode(grid_points(F.col("fp"))).alias("key")).repartition("key").sortWithinPartitions("key")
     return filed.mapInArrow(_forest(most, big), "a long, b long")
 
 
