@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests, local mode)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one only in a local session that names none, as in tests.
+
+    A cluster must name a folder that driver and executors share: a machine's own is refused. Tables in it are scratch
+    data of the session; who owns the folder clears it, as with any checkpoints."""
     set_here = spark.sparkContext._jsc.sc().getCheckpointDir()
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (set_here.get() if set_here.isDefined() else None)
     if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='ranksmith-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -1,16 +1,15 @@
-"""The pipeline against a plain Python version of every stage, on a small corpus; skipped where the pipeline is not there."""
+"""The pipeline against a plain Python version of every stage, on a small corpus."""
 
 import random
 from collections import Counter
 
 import pytest
+from test_decontaminate import brute as hits_of
+from test_mixture import draw
+from test_simhash_dedup import slow_components, slow_fingerprint
 
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-from test_decontaminate import brute as hits_of  # noqa: E402
-from test_mixture import draw  # noqa: E402
-from test_simhash_dedup import slow_components, slow_fingerprint  # noqa: E402
-
-from ranksmith.llm import decontaminate as D  # noqa: E402
+import corpus_pipeline
+from ranksmith.llm import decontaminate as D
 
 WORDS = {"en": "the and of to in that with house river green".split(), "de": "der die und nicht über schön straße haus fluß".split()}
 
