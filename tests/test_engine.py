@@ -107,12 +107,13 @@ def test_two_phase_agent_and_responses(engine):
     got = {r.doc_id: r.score for r in engine.search({"query": q}, two).collect()}
     assert got == {1: 2.0, 4: 2.5}  # documents with only light tokens are not found
     assert set(ids(engine.search({"query": q, "sort": [{"price": "asc"}]}, two))) == {1, 2, 3, 4}  # a sort by field turns it off
-    agent = {"request_processors": [{"agentic_query_translator": {"agent_id": "a"}}]}
-    assert set(ids(engine.search({"query": {"agentic": {"query_text": "hello"}}}, agent))) == {1, 4}
+    agent = {"request_processors": [{"agentic_query_translator": {}}]}
+    asked = {"agentic": {"query_text": "hello"}}
+    assert set(ids(engine.search({"query": asked}, agent))) == {1, 4}
     with pytest.raises(ValueError):
-        engine.search({"query": {"agentic": {"query_text": "hello"}}})
+        engine.search({"query": asked})
     with pytest.raises(ValueError):
-        engine.search({"query": {"agentic": {"query_text": "hello"}}, "sort": ["price"]}, agent)
+        engine.search({"query": asked, "sort": ["price"]}, agent)
     rerank = {"response_processors": [{"rerank": {"by_field": {"target_field": "price", "keep_previous_score": True, "remove_target_field": True}}}]}
     out = engine.search({"query": TWO}, rerank)
     assert ids(out) == [3, 1, 2, 4] and "price" not in out.columns and "previous_score" in out.columns

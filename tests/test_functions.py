@@ -17,7 +17,7 @@ GAP = "\n" * 2
 CHUNKS = [
     (text.chunk_delimiter, {"delimiter": "\n"}, "\n".join("abcd"), [x + "\n" for x in "abc"] + ["d"]),
     (text.chunk_delimiter, {"delimiter": GAP}, f"{GAP}a{GAP}\n", [GAP, f"a{GAP}", "\n"]),
-    (text.chunk_delimiter, {"delimiter": "."}, "a.b.cc.d.", ["a.", "b.", "cc.", "d."]),
+    (text.chunk_delimiter, {"delimiter": "."}, "a.b.cc.d.", [x + "." for x in ("a", "b", "cc", "d")]),
     (text.chunk_delimiter, {"delimiter": ".", "limit": 2}, "a.b.cc.d.", ["a.", "b.cc.d."]),
     (text.chunk_delimiter, {"delimiter": "\n"}, "", []),
     (text.chunk_fixed_char, {"char_limit": 10, "overlap_rate": 0.5}, "abcdefghijklmnopqrstuvwxyz", ["abcdefghij", "fghijklmno", "klmnopqrst", "pqrstuvwxy", "uvwxyz"]),
