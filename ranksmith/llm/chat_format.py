@@ -184,6 +184,6 @@ def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     plans = pieces.repartition("conv_id").sortWithinPartitions(*_KEYS).mapInArrow(plan, f"{key_types}, first long, entry long, leave long, last long")
     plans = plans.toDF("_c", "_n", "_k", "first", "entry", "leave", "last")
     joined = rows.join(plans, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("_no_turn") == F.col("_n")) & (F.col("_chunk") == F.col("_k"))).drop("_c", "_n", "_k")
-    # The repartition above may not survive the join's plan, and pieces must be whole.
-    joined = joined.repartition(*_KEYS).sortWithinPartitions(*order)
+    # A join's partitions may be split and pieces must be whole: dealt by a hash, which the planner cannot leave out.
+    joined = joined.repartition(F.xxhash64(*_KEYS)).sortWithinPartitions(*order)
     return joined.mapInArrow(render, f"conv_id {kind}, turn {number}, place long, role string, action string, rendered string")

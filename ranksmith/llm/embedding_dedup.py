@@ -3,7 +3,7 @@
 Vectors of one label link if their cosine (double precision) is at least ``threshold``: unit vectors at Euclidean
 distance ``r = sqrt(2 - 2 * threshold)`` or less. Exact copies meet first and travel as one vector with a count.
 
-* *Pivots.* A label with more than ``CELL`` vectors gets pivots in proportion (those with the smallest hashed row numbers;
+* *Pivots.* A label with more than ``CELL`` vectors gets pivots in proportion (vectors with the smallest hashed row numbers;
   at most ``MAX_PIVOTS`` in all, so they may be broadcast). A vector's home is the cell of its nearest pivot.
 * *Boundary replication.* A vector ``v`` also visits each cell ``j`` that can own a vector within ``r`` of it. By the
   triangle inequality that needs ``d(v, p_j) <= d(v, p_home) + 2 r`` and ``d(v, p_j) <= R_j + r`` for the cell's covering
@@ -158,18 +158,30 @@ def _join(threshold: float):
     return run
 
 
+def _pivots(vectors: DataFrame, wanted: dict[str, tuple[int, int]]) -> dict[str, np.ndarray]:
+    """For each group of ``wanted`` (its size and number of pivots): the vectors with the smallest hashed rows.
+
+    One pass keeps rows below a hash limit, about twice as many as wanted and 16 more; the driver takes the smallest. A
+    group that is left with none (a chance of one in e**16) stays one cell, cut into blocks."""
+    if not wanted:
+        return {}
+    limits = [(name, int(min(1.0, (2 * n + 16) / size) * (1 << 30))) for name, (size, n) in wanted.items()]
+    limit = vectors.sparkSession.createDataFrame(limits, "g string, most long")  # at most MAX_PIVOTS rows
+    hashed = vectors.withColumn("h", F.pmod(F.xxhash64("row"), F.lit(1 << 30)))
+    found: dict[str, list] = {}
+    for x in hashed.join(F.broadcast(limit), F.col("grp") == F.col("g")).filter("h < most").select("grp", "h", "row", "vec").collect():
+        found.setdefault(x["grp"], []).append((x["h"], x["row"], x["vec"]))
+    return {name: unit(np.array([v for _, _, v in sorted(rows, key=lambda r: r[:2])[: wanted[name][1]]])) for name, rows in found.items()}
+
+
 def links(vectors: DataFrame, threshold: float = THRESHOLD, cell: int = CELL, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """For distinct usable vectors ``row, grp, vec, n``: ``row, links`` of those that link, and the edges ``a, b`` of a forest of links."""
-    spark = vectors.sparkSession
     r = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
     total = vectors.count()
     cell = max(cell, -(-total // MAX_PIVOTS))
     large = {x["grp"]: x["count"] for x in vectors.groupBy("grp").count().filter(F.col("count") > cell).collect()}  # at most MAX_PIVOTS groups
-    pivots: dict[str, np.ndarray] = {}
-    for name, size in large.items():
-        picked = vectors.filter(F.col("grp") == name).orderBy(F.xxhash64("row"), "row").limit(-(-size // cell)).select("vec").collect()
-        pivots[name] = unit(np.array([x["vec"] for x in picked]))
-    homes = vectors.select("grp", "vec").mapInArrow(_home(pivots), "grp string, cell int, far double").filter(F.col("grp").isin(*large)) if large else None
+    pivots = _pivots(vectors, {name: (size, -(-size // cell)) for name, size in large.items()})
+    homes = vectors.select("grp", "vec").mapInArrow(_home(pivots), "grp string, cell int, far double").filter(F.col("grp").isin(*pivots)) if pivots else None
     cover = {k: np.zeros(len(p)) for k, p in pivots.items()}
     if homes is not None:
         for x in homes.groupBy("grp", "cell").agg(F.max("far").alias("far")).collect():  # a row for each pivot

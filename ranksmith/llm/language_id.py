@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ranksmith.functions.binding import let
 from ranksmith.llm.arrays import chunks, utf8
 
 MAX_ROWS = 1000
@@ -120,9 +121,20 @@ def declared_language(html: Column) -> Column:
 
 def _normal(logs: Column) -> Column:
     """Log weights to probabilities."""
-    top = F.array_max(logs)
-    e = F.transform(logs, lambda x: F.exp(x - top))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, b: a + b))
+
+    def scaled(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda a, b: a + b), lambda total: F.transform(e, lambda x: x / total))
+
+    return let(logs, lambda own: let(F.array_max(own), lambda top: let(F.transform(own, lambda x: F.exp(x - top)), scaled)))
+
+
+def _smoothed(level: Column, own: Column, parent: Column) -> Column:
+    """A level's shares without the row's own, drawn towards those of its parent."""
+
+    def mixed(rest: Column) -> Column:
+        return let(F.aggregate(rest, F.lit(0.0), lambda a, b: a + b), lambda n: F.zip_with(rest, parent, lambda s, p: (s + p * F.lit(STRENGTH)) / (n + F.lit(STRENGTH))))
+
+    return let(F.zip_with(level, own, lambda s, o: F.greatest(s - o, F.lit(0.0))), mixed)
 
 
 def _points_at(language: Column, languages: tuple[str, ...], right: float) -> Column:
@@ -199,9 +211,7 @@ def identify(df: DataFrame, model: TextModel, text: Column | str, levels: list[C
         read = read.join(table, [F.col(n).eqNullSafe(F.col(f"_t{n}")) for n in names])
     prior = F.array(*[F.lit(1.0 / len(languages))] * len(languages))
     for level in prior_of:
-        others_here = F.zip_with(level, "_own", lambda s, o: F.greatest(s - o, F.lit(0.0)))
-        size = F.aggregate(others_here, F.lit(0.0), lambda a, b: a + b)
-        prior = F.zip_with(others_here, prior, lambda s, p: (s + p * F.lit(STRENGTH)) / (size + F.lit(STRENGTH)))
+        prior = _smoothed(level, F.col("_own"), prior)
     out = read.withColumn("_prior", prior).withColumn("_post", _normal(_plus(F.col("_logs"), F.transform("_prior", lambda p: F.log(p)))))
 
     def best(column: str) -> Column:

@@ -220,7 +220,8 @@ def repeated_windows(docs: DataFrame, text: str = "text", k: int = WINDOW, m: in
     strings, _ = materialize(strings, "strings")
     hot = strings.groupBy("mh").count().filter(F.col("count") > max_bucket).select("mh", F.lit(True).alias("hot"))
     strings = strings.join(hot, "mh", "left")
-    cold = strings.filter("hot is null").drop("hot").repartition("mh").sortWithinPartitions("mh")
+    # Dealt by a hash of the bucket: by the bucket itself it could be left out after the join, whose partitions may be split.
+    cold = strings.filter("hot is null").drop("hot").repartition(F.xxhash64("mh")).sortWithinPartitions("mh")
     covered = cold.mapInArrow(_count(k), "mh long, digest binary, covered array<struct<lo:int,hi:int>>")
     single = strings.filter("hot").drop("hot").mapInArrow(_single_windows(k), "mh long, digest binary, window binary, lo int, n long")
     often = single.groupBy("window").agg(F.sum("n").alias("total")).filter("total > 1").select("window")
