@@ -37,7 +37,8 @@ from ranksmith.llm.storage import materialize
 WINDOW = 35
 MINIMISER = 10
 MAX_BUCKET = 2048
-_POSITION = U64((1 << 26) - 1)
+#: More positions than a text column of Arrow can hold words.
+_POSITION = U64((1 << 31) - 1)
 _STEP = U64(0xD6E8FEB86659FD93)
 
 

@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,21 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEPARATOR = "\n\n"
 RULES = ("first", "most", "split")
+#: White space runs of this length are encoded apart: the pattern's look-ahead cannot step back over a million places.
+LONG_SPACE = 100_000
+_LONG_SPACES = regex.compile(rf"\p{{White_Space}}{{{LONG_SPACE},}}")
+
+
+def pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """``text`` in order, and whether a part is a single piece of the pattern: a long white space run but for its last
+    place, which the pattern leaves to what follows."""
+    at = 0
+    for run in _LONG_SPACES.finditer(text) if len(text) >= LONG_SPACE else ():
+        stop = run.end() - (run.end() < len(text))
+        yield text[at : run.start()], False
+        yield text[run.start() : stop], True
+        at = stop
+    yield text[at:], False
 
 
 class Encoder:
@@ -57,9 +73,10 @@ class Encoder:
             sizes = np.zeros(max(self.ranks.values()) + 1, np.int64)
             for token, i in self.ranks.items():
                 sizes[i] = len(token)
-            self._built = tiktoken.Encoding("own", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={}), sizes
-        encoding, sizes = self._built
-        return [sizes[np.array(encoding.encode_ordinary(t), np.int64)] for t in texts]
+            split, whole = (tiktoken.Encoding("own", pat_str=p, mergeable_ranks=self.ranks, special_tokens={}) for p in (self.pattern, r"(?s:.+)"))
+            self._built = split, sizes, whole
+        split, sizes, whole = self._built
+        return [sizes[np.concatenate([np.array((whole if one else split).encode_ordinary(part), np.int64) for part, one in pieces(t)])] for t in texts]
 
 
 def line_ends(text: bytes) -> np.ndarray:

@@ -73,3 +73,18 @@ def test_empty_and_bad_rule(spark):
     assert T.count_lines(df).count() == 0
     with pytest.raises(ValueError):
         T.count_lines(df, rule="last")
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\u00a0", "\t "])
+def test_long_white_space_is_encoded_as_before(space):
+    encoder = T.Encoder(T.VOCABULARY)
+    encoder.lengths([""])
+    encoding, sizes = encoder._built[:2]
+    for before, after in [("", ""), ("x", ""), ("", "y"), ("it's", "y 1"), ("x ", "!"), ("a", "\u00e9")]:
+        text = before + space * T.LONG_SPACE + after
+        assert encoder.lengths([text])[0].tolist() == sizes[encoding.encode_ordinary(text)].tolist()
+
+
+def test_white_space_beyond_what_the_pattern_can_step_back_over():
+    lengths = T.Encoder(T.VOCABULARY).lengths([" " * 1_500_000 + "x", "\n" * 1_500_000])
+    assert [int(n.sum()) for n in lengths] == [1_500_001, 1_500_000]
