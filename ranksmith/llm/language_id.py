@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from ranksmith.functions.binding import let
 from ranksmith.llm.arrays import chunks, utf8
+from ranksmith.llm.storage import materialize
 
 MAX_ROWS = 1000
 BUCKETS = 1 << 15
@@ -100,12 +101,20 @@ def fit_text_model(texts: list[bytes], labels: list[str]) -> TextModel:
 
 
 def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS) -> TextModel:
-    ids = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_lang")).filter("_id is not null and _lang is not null")
-    place = Window.partitionBy("_lang").orderBy(F.xxhash64(F.col("_id").cast("string")), "_id")
-    picked = ids.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= max_rows).drop("_n")
-    # max_rows ids for each language.
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(lang).alias("_l"), F.col(text).alias("_t")).join(F.broadcast(picked), "_id").filter("_l = _lang").select("_l", "_t", "_id").orderBy("_l", "_id", "_t").collect()
-    return fit_text_model([(r["_t"] or "").encode() for r in rows], [r["_l"] for r in rows])
+    labelled = docs.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_lang")).filter("_id is not null and _lang is not null").withColumn("_h", F.xxhash64(F.col("_id").cast("string")))
+    sizes = {r["_lang"]: r["count"] for r in labelled.groupBy("_lang").count().collect()}
+    if not sizes:
+        return fit_text_model([], [])
+    # Hashes up to a limit hold twice as many rows as wanted and some more, so only they meet in a language's window.
+    limits = [(x, min((2 * max_rows + 100) * (1 << 64) // n, (1 << 64) - 1) - (1 << 63)) for x, n in sizes.items()]
+    limit = docs.sparkSession.createDataFrame(limits, "_l string, _most long")  # a row for each language
+    few = labelled.join(F.broadcast(limit), F.col("_lang") == F.col("_l")).filter("_h <= _most").select("_lang", "_id", "_h").distinct()
+    place = Window.partitionBy("_lang").orderBy("_h", "_id")
+    picked = few.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= max_rows).select(F.col("_lang").alias("_l"), "_id")
+    # max_rows ids for each language, and of rows that share an id one text.
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_l"), F.col(text).alias("_t")).join(F.broadcast(picked), ["_l", "_id"])
+    found = rows.groupBy("_l", "_id").agg(F.min("_t").alias("_t")).orderBy("_l", "_id").collect()
+    return fit_text_model([(r["_t"] or "").encode() for r in found], [r["_l"] for r in found])
 
 
 def visible_text(html: Column) -> Column:
@@ -187,7 +196,8 @@ def identify(df: DataFrame, model: TextModel, text: Column | str, levels: list[C
     # The kept columns stay behind where only sums are wanted.
     summed = read_texts(df.select(text_column.alias("_text"), *[x.alias(c) for x, c in ((none if declared is None else declared, "_declared"), (none if suffix is None else suffix, "_suffix"))], *[x.cast("string").alias(n) for x, n in zip(levels, names)]), given)
     sums = summed.groupBy(*names).agg(*[F.sum(F.element_at("_own", i + 1)).alias(f"s{i}") for i in range(len(languages))])
-    sums = sums.select(*names, F.array(*[f"s{i}" for i in range(len(languages))]).alias("_sum"))
+    # Written, as every level, the count and the join read it: the texts are not read again for each.
+    sums, _ = materialize(sums.select(*names, F.array(*[f"s{i}" for i in range(len(languages))]).alias("_sum")), "sums")
     table = sums
     for depth in range(len(names)):  # the sums of each coarser level, from those of the finest
         up = names[:depth]
