@@ -86,3 +86,38 @@ def test_null_turns_ties_repeats_and_empty(spark):
     assert "".join(r.rendered for r in got) == "<|user|>\na\na<|end|>\n<|assistant|>\nb\nz<|end|>\n"
     assert [r.action for r in got] == ["keep", "merge", "keep", "merge"]
     assert C.repair(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("group", [2, 512])
+def test_crowded_pieces_are_dealt_out_and_repaired_alike(spark, group):
+    rng = random.Random(group)
+    rows = [(None, None, "user", "same")] * 300 + [(None, None, rng.choice(["user", "assistant", None]), f"t{i % 40}") for i in range(200)]
+    rows += [(1, 5, rng.choice(["user", "assistant", "tool"]), f"u{i % 30}") for i in range(200)]
+    rows += [(2, t, rng.choice(["user", "assistant", "system"]), None if t == 3 else f"v{t}") for t in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(5)
+    got = {}
+    for r in C.repair(df, chunk=4, group=group, max_piece=50).collect():
+        got.setdefault(r.conv_id, []).append(r)
+    whole = {}
+    for r in C.repair(df).collect():
+        whole.setdefault(r.conv_id, []).append(r)
+    key = lambda r: (r[1] is None, r[1] or 0, r[2] is not None, r[2] or "", r[3] is not None, r[3] or "")
+    for conv in (None, 1, 2):
+        own = sorted((r for r in rows if r[0] == conv), key=key)
+        raw = [C.role_of(r[2]) for r in own]
+        parts, all_at_once = (sorted(x[conv], key=lambda r: r.place) for x in (got, whole))
+        assert [r.place for r in parts] == list(range(len(own))) and [r.turn for r in parts] == [r[1] for r in own]
+        assert cost_of([r.action for r in parts], raw) == cost_of([r.action for r in all_at_once], raw)
+        for r, (_, _, _, text) in zip(parts, own):
+            assert (text or "") in r.rendered
+        heads = [part.split("|>")[0] for part in "".join(r.rendered for r in parts).split("<|")[1:]]
+        names = heads[::2][1:] if heads[0] == "system" else heads[::2]
+        assert heads[1::2] == ["end"] * (len(heads) // 2) and names == ["user", "assistant"] * (len(names) // 2)
+
+
+def test_power_composes():
+    for role, (step, _) in C.MOVES.items():
+        total = step
+        for n in range(1, 9):
+            assert (C.power(step, n) == total).all(), (role, n)
+            total = C.compose(total, step)
