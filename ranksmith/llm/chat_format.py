@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ranksmith.llm.storage import materialize
+from ranksmith.llm.storage import materialize, small_batches
 
 STATES = ("start", "system", "user", "assistant")
 ALIASES = {"human": "user", "prompter": "user", "bot": "assistant", "gpt": "assistant", "model": "assistant", "ai": "assistant"}
@@ -154,6 +154,7 @@ def _dealt(rows: DataFrame, run: int, max_piece: int) -> DataFrame:
 
 def repair(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", chunk: int = CHUNK, group: int = GROUP, max_piece: int = MAX_PIECE) -> DataFrame:
     """``conv_id, turn, place, role, action, rendered`` of every row."""
+    small_batches(turns.sparkSession)
     kind, number = turns.schema[conv_id].dataType.simpleString(), turns.schema[turn].dataType.simpleString()
     rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("_no_turn", F.col("turn").isNull()).withColumn("_chunk", F.coalesce(F.floor(F.col("turn") / chunk).cast("long"), F.lit(0).cast("long")))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ranksmith.llm.arrays import chunks, lists, spans, utf8, word_hashes
-from ranksmith.llm.storage import materialize
+from ranksmith.llm.storage import materialize, small_batches
 
 WINDOW = 10
 SHARD_WORDS = 200_000
@@ -217,6 +217,7 @@ _HITS = "n_words long, spans array<struct<lo:int,hi:int>>, items array<string>"
 def automata(items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> Iterator[tuple]:
     """A broadcast automaton and its item ids for each shard of the items, one at a time."""
     spark = items.sparkSession
+    small_batches(spark)
     items = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null")
     total = items.agg(F.sum(F.size(F.regexp_extract_all("t", F.lit(f"({WORD})"), 1)))).first()[0] or 0
     shards = max(1, -(-total // shard_words))

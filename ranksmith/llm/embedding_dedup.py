@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranksmith.llm.components import connected_components
-from ranksmith.llm.storage import materialize
+from ranksmith.llm.storage import materialize, small_batches
 
 THRESHOLD = 0.93
 CELL = 2000
@@ -220,6 +220,7 @@ def near_duplicates(embeddings: DataFrame, vec_id: str = "vec_id", vector: str =
     """Per row: ``vec_id, n_links, component_id, kept``."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
+    small_batches(embeddings.sparkSession)
     columns = [F.monotonically_increasing_id().alias("row"), F.col(vec_id).alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("vec")]
     rows = embeddings.select(*columns)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)

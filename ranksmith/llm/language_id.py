@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ranksmith.functions.binding import let
 from ranksmith.llm.arrays import chunks, utf8
-from ranksmith.llm.storage import materialize
+from ranksmith.llm.storage import materialize, small_batches
 
 MAX_ROWS = 1000
 BUCKETS = 1 << 15
@@ -171,6 +171,7 @@ def identify(df: DataFrame, model: TextModel, text: Column | str, levels: list[C
     rows = df.select(kept.alias("_kept"), *([] if held else [text_column.alias("_text")]), (none if declared is None else declared).alias("_declared"), (none if suffix is None else suffix).alias("_suffix"), *[x.cast("string").alias(n) for x, n in zip(levels, names)])
     if not languages:
         return rows.select(*[F.col(f"_kept.`{c}`") for c in keep], F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), none.alias("text_language"), F.col("_declared").alias("declared"), F.lit(None).cast("double").alias("prior"))
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def read_texts(rows: DataFrame, text_of) -> DataFrame:

@@ -32,7 +32,7 @@ from xxhash import xxh64_intdigest
 
 from ranksmith.llm.arrays import utf8
 from ranksmith.llm.components import connected_components
-from ranksmith.llm.storage import materialize
+from ranksmith.llm.storage import materialize, small_batches
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -157,6 +157,7 @@ def fingerprint_links(fps: DataFrame, most: int = MAX_BITS, big: int = BIG_CELL)
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MAX_BITS, big: int = BIG_CELL) -> DataFrame:
     """Per row: ``_row, doc_id, fp, component_id, kept`` (the row that stands for its component)."""
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
+    small_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
     marked, _ = materialize(rows.mapInArrow(_fingerprints, f"_row long, _id {kind}, fp long"), "fingerprints")
     least = F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_row")).alias("first")

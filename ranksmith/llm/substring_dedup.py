@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranksmith.llm.arrays import U64, chunks, lists, mix, sliding_min, spans, utf8, word_hashes
-from ranksmith.llm.storage import materialize
+from ranksmith.llm.storage import materialize, small_batches
 
 WINDOW = 35
 MINIMISER = 10
@@ -210,6 +210,7 @@ def repeated_windows(docs: DataFrame, text: str = "text", k: int = WINDOW, m: in
     ``_row, n_removed, kept_sha256, kept_text`` of the rows that lose words."""
     if not 1 <= m <= k:
         raise ValueError("the minimiser must have 1 to k words")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
     scanned, _ = materialize(rows.mapInArrow(_scan(k, m), "_row long, n_words long, sha string, runs array<struct<mh:long,first:int,windows:int,picks:int>>"), "minimisers")
     runs = scanned.select("_row", F.explode("runs").alias("run")).select("_row", "run.*")
