@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_BYTES = 4 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,11 +39,17 @@ def small_batches(spark: SparkSession) -> None:
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a Parquet table in the shared folder; returns it reread, and its path.
 
-    The lineage ends here: executors that are lost later cost nothing that was written before.
+    The lineage ends here: executors that are lost later cost nothing that was written before, and the shuffle files of
+    the write go with its end and not when the driver next collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
