@@ -9,7 +9,7 @@ from ranksmith.llm.decontaminate import decontaminate
 from ranksmith.llm.language_id import keep_known_languages
 from ranksmith.llm.language_id import train as train_languages
 from ranksmith.llm.mixture import mix_sources
-from ranksmith.llm.simhash_dedup import drop_near_duplicates
+from ranksmith.llm.near_copies import drop_near_copies
 from ranksmith.llm.substring_dedup import remove_repeats
 
 
@@ -24,8 +24,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup (5): one document of each component stays."""
-    return drop_near_duplicates(docs)
+    """Near-dedup (5): of documents connected by a five-word Jaccard similarity of at least 0.8, one stays."""
+    return drop_near_copies(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
