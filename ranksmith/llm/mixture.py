@@ -3,7 +3,8 @@
 A source ``s`` with ``n_s`` of all ``n`` documents and target weight ``w_s`` gets the mean repetition rate
 ``rate_s = w_s * n / n_s``, so the expected mixture has the size of the input and the target shares. Each
 document draws its number of copies from a Poisson distribution with that mean by inverting it at a uniform number
-hashed from its id and the seed; copies get a hashed place in a global shuffle. Everything depends on the id and the
+hashed from its id and the seed. A mean above ``MAX_RATE`` is split into equal parts, each with a uniform number of
+its own: the sum of independent Poisson draws is a Poisson draw with the sum of their means. Copies get a hashed place in a global shuffle. Everything depends on the id and the
 seed alone: neither partitioning nor a lost executor changes a draw.
 
 Targets: a mapping of sources to weights (sources left out get none), or the tempered shares ``n_s ** temperature``.
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 BROADCAST_SOURCES = 10_000
 TEMPERATURE = 0.5
 SEED = 17
-#: Means above this are refused: the inversion tabulates the distribution.
-MAX_RATE = 200.0
+#: The largest mean that one inversion tabulates: ``exp`` of its negative is far from the end of the doubles.
+MAX_RATE = 700.0
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -62,20 +63,32 @@ def steps(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), most), start, add, lambda s: s["all"])
 
 
+def draw(key: Column, table: Column, parts: Column, seed: int) -> Column:
+    """The number of copies: of each part's steps, those up to its uniform number; the first part has the one of the key alone."""
+
+    def part(u: Column) -> Column:
+        return F.size(F.filter(table, lambda c: c <= u)).cast("long")
+
+    def further(k: Column) -> Column:
+        return part(uniform(F.concat_ws("|", F.lit("part"), k.cast("string"), F.coalesce(key.cast("string"), F.lit(""))), seed))
+
+    rest = F.aggregate(F.sequence(F.lit(1).cast("long"), parts - 1), F.lit(0).cast("long"), lambda n, k: n + further(k))
+    return part(F.col("_u")) + F.when(parts > 1, rest).otherwise(0)
+
+
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", targets: Mapping | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """``docs`` with each row repeated by its draw: its columns, ``copy`` (from 0) and ``shuffle_key``, dealt out and sorted by the latter."""
     spark = docs.sparkSession
     table = rates(docs, source, targets, temperature)
-    size, most = table.agg(F.count("*"), F.max("rate")).first()
-    if most is not None and most > MAX_RATE:
-        raise ValueError(f"a source would be repeated {most:.0f} times on average; at most {MAX_RATE:.0f} is supported")
-    table = table.select(F.col("source").alias("_source"), steps(F.col("rate")).alias("_steps"))
+    size = table.count()
+    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(MAX_RATE))).cast("long")
+    table = table.select(F.col("source").alias("_source"), "rate", parts.alias("_parts")).select("_source", "_parts", steps(F.col("rate") / F.col("_parts")).alias("_steps"))
     if size <= BROADCAST_SOURCES:
         table = F.broadcast(table)
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(source).alias("_s"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_doc"))
     u = uniform(F.col("_id"), seed)
-    copies = F.size(F.filter("_steps", lambda c: c <= F.col("_u")))
+    copies = draw(F.col("_id"), F.col("_steps"), F.col("_parts"), seed).cast("int")
     drawn = rows.withColumn("_u", u).join(table, F.col("_s").eqNullSafe(F.col("_source"))).withColumn("_copies", copies).filter("_copies > 0")
     out = drawn.select("_id", "_doc", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("copy"))
     place = F.md5(F.concat_ws("|", F.lit(f"{seed}-place"), F.coalesce(F.col("_id").cast("string"), F.lit("")), "copy"))

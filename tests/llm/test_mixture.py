@@ -49,3 +49,22 @@ def test_empty_and_bad_weights(spark):
     assert mix_sources(df).count() == 0
     with pytest.raises(ValueError):
         rates(df, targets={"a": -1})
+
+
+def test_rates_beyond_one_table(spark):
+    def summed(key, rate):
+        parts = max(1, math.ceil(rate / 700))
+        return sum(draw(key if k == 0 else f"part|{k}|{'' if key is None else key}", rate / parts) for k in range(parts))
+
+    rows = [(i if i else None, "rare" if i < 2 else "less" if i < 5 else "hot") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string")
+    got = {}
+    for r in mix_sources(df, targets={"rare": 0.9, "less": 0.08, "hot": 0.02}).groupBy("doc_id", "source").count().collect():
+        got[r.doc_id, r.source] = r["count"]
+    rate = {"rare": 900.0, "less": 160 / 3, "hot": 40 / 1995}
+    assert got == {(i, s): n for i, s in rows if (n := summed(i, rate[s]))}
+    few = mix_sources(df, targets={"rare": 0.5, "hot": 0.5}).groupBy("source").count().collect()
+    assert abs({r.source: r["count"] for r in few}["rare"] - 1000) < 5 * 1000**0.5
+    one = spark.createDataFrame([(i, "one" if i == 0 else "hot") for i in range(20000)], "doc_id long, source string")
+    n = mix_sources(one, targets={"one": 1.0}).count()
+    assert abs(n - 20000) < 5 * 20000**0.5
