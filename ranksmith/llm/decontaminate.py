@@ -257,18 +257,19 @@ def n_hit(column: str = "spans") -> Column:
     return F.aggregate(column, F.lit(0).cast("long"), lambda n, x: n + (x["hi"] - x["lo"]).cast("long"))
 
 
-def cut_spans(raw: bytes, found: list[dict], min_span: int) -> bytes:
-    """A text without its hit spans of at least ``min_span`` words; what stands around them is unchanged."""
+def cut_spans(raw: bytes, found: list[dict], min_span: int, window: int = 0) -> bytes:
+    """A text without its hit spans of at least ``min_span`` words, and those of under ``window`` words, which only whole
+    short items make; what stands around them is unchanged."""
     lo, hi, _ = spans(np.frombuffer(raw.translate(NORMAL), np.uint8), np.array([0, len(raw)]), _GAP)
     kept, at = [], 0
     for x in found:
-        if x["hi"] - x["lo"] >= min_span:
+        if not window <= x["hi"] - x["lo"] < min_span:
             kept.append(raw[at : lo[x["lo"]]])
             at = hi[x["hi"] - 1]
     return b"".join([*kept, raw[at:]])
 
 
-def _clean(text: str, min_span: int, max_coverage: float):
+def _clean(text: str, min_span: int, max_coverage: float, window: int):
     """Batches of ``_doc, n_words, spans`` to those documents that stay, with their hit spans cut."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +284,7 @@ def _clean(text: str, min_span: int, max_coverage: float):
                 for i in rows.tolist():
                     found = hit[i].as_py()
                     stays[i] = sum(x["hi"] - x["lo"] for x in found) <= max_coverage * batch.column("n_words")[i].as_py()
-                    new[i] = cut_spans(new[i].encode(), found, min_span).decode("utf-8", "replace") if stays[i] else None
+                    new[i] = cut_spans(new[i].encode(), found, min_span, window).decode("utf-8", "replace") if stays[i] else None
                 texts = pa.array(new, texts.type)
             fields = [texts if i == at else doc.field(i) for i in range(doc.type.num_fields)]
             out = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(fields, fields=list(doc.type))], ["_doc"])
@@ -293,13 +294,13 @@ def _clean(text: str, min_span: int, max_coverage: float):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, min_span: int = MIN_SPAN, max_coverage: float = MAX_COVERAGE, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``docs`` without hit spans of at least ``min_span`` words (runs of hit words), and without the documents of which
+    """``docs`` without hit spans of at least ``min_span`` words (runs of hit words) or of whole items of under ``window`` words, and without the documents of which
     more than ``max_coverage`` of all words are hit. Texts without such spans, and null ones, are unchanged.
 
     With one automaton this is a single pass without a shuffle; with several the hits join back by row."""
     shards = list(automata(items, window=window, shard_words=shard_words))
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    clean = _clean(text, min_span, max_coverage)
+    clean = _clean(text, min_span, max_coverage, window)
     if len(shards) == 1:
         scan = _scan(*shards[0], text_of=lambda batch: batch.column("_doc").field(text))
         found = docs.select(whole)

@@ -68,3 +68,16 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert tuple(digests(docs, none).first())[1:4] == (2, 0, 0)
     assert digests(docs.limit(0), none).count() == 0 and decontaminate(docs.limit(0), none).count() == 0
+
+
+def test_whole_short_items_are_cut_from_longer_documents(spark):
+    from ranksmith.llm.decontaminate import cut_spans
+
+    long = " ".join(f"q{i}" for i in range(30))
+    rows = [(1, f"a b {long} k Short, item! c d " + "z " * 60), (2, f"short thing {'y ' * 9}"), (3, "p " * 9 + "solo p"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for shard_words in (200_000, 12):
+        items = spark.createDataFrame([(1, long), (2, "short item"), (3, "solo")], "item_id long, text string")
+        got = {r.doc_id: r.text for r in decontaminate(docs, items, shard_words=shard_words).collect()}
+        assert got == {1: "a b  k ! c d " + "z " * 60, 2: rows[1][1], 3: "p " * 9 + " p", 4: None}
+    assert cut_spans(b"a b c d e", [{"lo": 1, "hi": 4}], 4, 3) == b"a b c d e"
