@@ -38,6 +38,32 @@ def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def segments(data: np.ndarray, most: int, overlap: int = 0, separator: np.ndarray = ASCII_SPACE) -> Iterator[tuple[np.ndarray, int, int]]:
+    """Pieces of a long text of about ``most`` bytes, cut between words: the piece, the number of its first word in the
+    text, and how many of its first words the piece before had too (``overlap``, none in the first piece).
+
+    A piece has more than ``overlap`` words, however long they are, unless the text ends before."""
+    at = word = repeated = 0
+    while True:
+        size = most
+        while True:
+            end = at + size
+            if end >= len(data):
+                yield data[at:], word, repeated
+                return
+            gaps = np.flatnonzero(separator[data[end : end + most]])
+            end = end + int(gaps[0]) if len(gaps) else end + most
+            gap = separator[data[at:end]]
+            starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
+            whole = end >= len(data) or separator[data[end]]
+            if whole and len(starts) > 2 * overlap:
+                break
+            size *= 2
+        yield data[at:end], word, repeated
+        word, repeated = word + len(starts) - overlap, overlap
+        at += int(starts[-overlap]) if overlap else end - at
+
+
 def spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = ASCII_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and for each row its first word (one entry more than rows)."""
     gap = separator[data]
@@ -50,12 +76,36 @@ def spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = ASCII_S
     return starts, np.flatnonzero(~gap & after) + 1, np.searchsorted(starts, offsets)
 
 
+def word_bounds(data: np.ndarray, separator: np.ndarray = ASCII_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end byte of every word of one text, found in pieces, so that little more than the result is held."""
+    starts, ends, before = [], [], True
+    for lo in range(0, len(data), CHUNK_BYTES):
+        gap = separator[data[lo : lo + CHUNK_BYTES]]
+        last = np.concatenate(([before], gap[:-1]))
+        starts.append(np.flatnonzero(~gap & last) + lo)
+        ends.append(np.flatnonzero(gap & ~last) + lo)
+        before = bool(gap[-1])
+    if not before:
+        ends.append(np.array([len(data)]))
+    none = np.zeros(0, np.int64)
+    return np.concatenate(starts) if starts else none, np.concatenate(ends) if ends else none
+
+
+def joined_words(raw: bytes, starts: np.ndarray, ends: np.ndarray, lo: int, hi: int) -> bytes:
+    """Words ``lo`` to ``hi`` of a text with one space between them."""
+    step = 100_000
+    return b" ".join([b" ".join(raw[starts[a] : ends[min(a + step, hi) - 1]].split()) for a in range(lo, hi, step)])
+
+
 def _powers(base: int, n: int) -> np.ndarray:
+    """Powers of ``base`` modulo 2**64; those for two chunks of text are kept."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         have = np.full(max(n, CHUNK_BYTES + 1), base, U64)
         have[0] = 1
-        have = _POWERS[base] = np.cumprod(have, dtype=U64)
+        have = np.cumprod(have, dtype=U64)
+        if len(have) <= 2 * CHUNK_BYTES + 1:
+            _POWERS[base] = have
     return have[:n]
 
 

@@ -11,11 +11,12 @@ stretches of known words that are long enough for the shortest window are stream
 batch is split, hashed and compared as arrays.
 
 An automaton holds at most about ``SHARD_WORDS`` words of items and is broadcast. A larger benchmark is dealt into
-several automata with a pass for each, and the passes' hits meet by document, so what is broadcast stays bounded.
+several automata with a pass for each: the hits of a pass are written, its automaton is let go before the next one is
+built, and the passes' hits meet by document. So one automaton is alive at a time, whatever the benchmark's size.
 
 Defined results: null and empty texts have no words, of documents and of items alike; a null item id counts as an
 item and is written as the empty string; repeated items are items of their own; rows of documents are told apart
-by position. Columns may have any names. Texts are never cut.
+by file and place. Columns may have any names. Long texts are streamed in pieces that share ``window - 1`` words.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ranksmith.llm.arrays import chunks, lists, spans, utf8, word_hashes
-from ranksmith.llm.storage import materialize, small_batches
+from ranksmith.llm.arrays import CHUNK_BYTES, chunks, lists, segments, spans, utf8, word_bounds, word_hashes
+from ranksmith.llm.storage import Rows, kept_columns, materialize, small_batches, unpacked, wider
 
 WINDOW = 10
 SHARD_WORDS = 200_000
@@ -165,6 +167,43 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _SPAN = pa.struct([("lo", pa.int32()), ("hi", pa.int32())])
 
 
+def _match(automaton: Automaton, vocabulary: np.ndarray, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, list, list]:
+    """Of normalised texts: the number of words, ranges of hit words (not merged) and the items whose windows occur."""
+    data = np.frombuffer(raw, np.uint8)
+    starts, ends, first = spans(data, offsets, _GAP)
+    ranges: list[list[tuple[int, int]]] = [[] for _ in range(len(offsets) - 1)]
+    items: list[set[int]] = [set() for _ in ranges]
+    if len(starts) and len(vocabulary):
+        h = word_hashes(data, starts, ends)
+        is_known = vocabulary[np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)] == h
+        begin = is_known & np.concatenate(([True], ~is_known[:-1]))
+        end = is_known & np.concatenate((~is_known[1:], [True]))
+        cut = first[(first > 0) & (first < len(h))]
+        begin[cut] |= is_known[cut]
+        end[cut - 1] |= is_known[cut - 1]
+        begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        long = end - begin >= automaton.shortest
+        rows = np.searchsorted(first, begin[long], side="right") - 1
+        for row, a, b in zip(rows.tolist(), begin[long].tolist(), end[long].tolist()):
+            got, own = automaton.hits(raw[starts[a] : ends[b - 1]].split())
+            if got:
+                at = a - int(first[row])
+                ranges[row] += [(x + at, y + at) for x, y in got]
+                items[row] |= own
+    return np.diff(first), ranges, items
+
+
+def _match_long(automaton: Automaton, vocabulary: np.ndarray, raw: bytes) -> tuple[np.ndarray, list, list]:
+    """The same of one long text, in pieces."""
+    n, ranges, items = 0, [], set()
+    for piece, word, _ in segments(np.frombuffer(raw, np.uint8), CHUNK_BYTES, automaton.window - 1, _GAP):
+        own, (found,), (named,) = _match(automaton, vocabulary, piece.tobytes(), np.array([0, len(piece)]))
+        n = word + int(own[0])
+        ranges += [(x + word, y + word) for x, y in found]
+        items |= named
+    return np.array([n]), [ranges], [items]
+
+
 def _scan(shared, ids: list[str], text_of=lambda batch: batch.column("_text")):
     """The other columns, and ``n_words`` of each text, its merged ranges of hit words and the ids of the items that they come from."""
 
@@ -177,69 +216,57 @@ def _scan(shared, ids: list[str], text_of=lambda batch: batch.column("_text")):
             all_offsets, all_data = utf8(text_of(batch))
             kept = [c for c in batch.schema.names if c != "_text"]
             for lo, hi in chunks(all_offsets):
-                offsets = all_offsets[lo : hi + 1] - all_offsets[lo]
                 raw = all_data[all_offsets[lo] : all_offsets[hi]].tobytes().translate(NORMAL)
-                data = np.frombuffer(raw, np.uint8)
-                starts, ends, first = spans(data, offsets, _GAP)
-                ranges: list[list[tuple[int, int]]] = [[] for _ in range(hi - lo)]
-                items: list[set[int]] = [set() for _ in range(hi - lo)]
-                if len(starts) and len(vocabulary):
-                    h = word_hashes(data, starts, ends)
-                    is_known = vocabulary[np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)] == h
-                    begin = is_known & np.concatenate(([True], ~is_known[:-1]))
-                    end = is_known & np.concatenate((~is_known[1:], [True]))
-                    cut = first[(first > 0) & (first < len(h))]
-                    begin[cut] |= is_known[cut]
-                    end[cut - 1] |= is_known[cut - 1]
-                    begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
-                    long = end - begin >= automaton.shortest
-                    rows = np.searchsorted(first, begin[long], side="right") - 1
-                    for row, a, b in zip(rows.tolist(), begin[long].tolist(), end[long].tolist()):
-                        got, own = automaton.hits(raw[starts[a] : ends[b - 1]].split())
-                        if got:
-                            at = a - int(first[row])
-                            ranges[row] += [(x + at, y + at) for x, y in got]
-                            items[row] |= own
+                long = len(raw) > 2 * CHUNK_BYTES  # one row
+                n_words, ranges, items = _match_long(automaton, vocabulary, raw) if long else _match(automaton, vocabulary, raw, all_offsets[lo : hi + 1] - all_offsets[lo])
                 merged = [_merge(x) if x else x for x in ranges]
                 flat = [{"lo": x, "hi": y} for r in merged for x, y in r]
                 named = [ids[i] for own in items for i in sorted(own)]
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c)[lo:hi] for c in kept], pa.array(np.diff(first), pa.int64()), lists(pa.array(flat, _SPAN), np.array([len(x) for x in merged])), lists(pa.array(named, pa.string()), np.array([len(x) for x in items]))],
+                    [*[batch.column(c)[lo:hi] for c in kept], pa.array(n_words, pa.int64()), lists(pa.array(flat, _SPAN), np.array([len(x) for x in merged])), lists(pa.array(named, pa.string()), np.array([len(x) for x in items]))],
                     [*kept, "n_words", "spans", "items"],
                 )
 
     return run
 
 
-_HITS = "n_words long, spans array<struct<lo:int,hi:int>>, items array<string>"
+_HITS = {"n_words": "long", "spans": "array<struct<lo:int,hi:int>>", "items": "array<string>"}
+
 
+class Shards:
+    """The automata of a benchmark, each with its item ids, one after another."""
 
-def automata(items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> Iterator[tuple]:
-    """A broadcast automaton and its item ids for each shard of the items, one at a time."""
-    spark = items.sparkSession
-    small_batches(spark)
-    items = items.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).cast("string").alias("t")).filter("t is not null")
-    total = items.agg(F.sum(F.size(F.regexp_extract_all("t", F.lit(f"({WORD})"), 1)))).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
-    for shard in range(shards):
-        own = items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(shards)) == shard).collect()  # about shard_words words
-        automaton = Automaton([words_of(r.t) for r in own], window)
-        yield spark.sparkContext.broadcast(automaton), [r.i or "" for r in own]
+    def __init__(self, items: DataFrame, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS):
+        small_batches(items.sparkSession)
+        self.window, self.spark = window, items.sparkSession
+        self.items = items.select(F.col(f"`{item_id}`").cast("string").alias("i"), F.col(f"`{item_text}`").cast("string").alias("t")).filter("t is not null")
+        total = self.items.agg(F.sum(F.size(F.regexp_extract_all("t", F.lit(f"({WORD})"), 1)))).first()[0] or 0
+        self.number = max(1, -(-total // shard_words))
 
+    def automaton(self, shard: int | None) -> tuple:
+        """A broadcast automaton and its item ids; without a shard, one that holds nothing."""
+        own = [] if shard is None else self.items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(self.number)) == shard).collect()  # about shard_words words
+        return self.spark.sparkContext.broadcast(Automaton([words_of(r.t) for r in own], self.window)), [r.i or "" for r in own]
 
-def find_hits(rows: DataFrame, shards: list[tuple]) -> DataFrame:
+
+def find_hits(rows: DataFrame, shards: Shards) -> DataFrame:
     """The columns of ``rows(_row, _text, ...)`` but the text, ``n_words``, ``spans`` of hit words (``lo`` to ``hi``, merged) and ``items``."""
-    rest = [f for f in rows.schema.fields if f.name != "_text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rest] + [_HITS])
-    passes = [rows.mapInArrow(_scan(shared, ids), schema) for shared, ids in shards]
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0]
-    for p in passes[1:]:
-        every = every.unionByName(p)
-    same = [F.first(f.name).alias(f.name) for f in rest if f.name != "_row"]
-    every = every.groupBy("_row").agg(*same, F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    return every.withColumn("spans", _merge_spans(F.col("spans")))
+
+    def scanned(rows: DataFrame, shard: int | None) -> DataFrame:
+        return rows.mapInArrow(_scan(*shards.automaton(shard)), wider(T.StructType([f for f in rows.schema.fields if f.name != "_text"]), **_HITS))
+
+    if shards.number == 1:
+        return scanned(rows, 0)
+    every = None
+    for shard in range(shards.number):
+        shared, ids = shards.automaton(shard)
+        found = rows.select("_row", "_text").mapInArrow(_scan(shared, ids), wider(rows.select("_row").schema, **_HITS)).filter(F.size("spans") > 0)
+        found, _ = materialize(found.select("_row", "spans", "items"), "hits")
+        shared.destroy()
+        every = found if every is None else every.unionByName(found)
+    every = every.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.flatten(F.collect_list("items")).alias("_items"))
+    out = scanned(rows, None).join(every, "_row", "left").withColumn("spans", _merge_spans(F.coalesce("_spans", "spans"))).withColumn("items", F.coalesce("_items", "items"))
+    return out.drop("_spans", "_items")
 
 
 def _merge_spans(column: Column) -> Column:
@@ -260,7 +287,7 @@ def n_hit(column: str = "spans") -> Column:
 def cut_spans(raw: bytes, found: list[dict], min_span: int, window: int = 0) -> bytes:
     """A text without its hit spans of at least ``min_span`` words, and those of under ``window`` words, which only whole
     short items make; what stands around them is unchanged."""
-    lo, hi, _ = spans(np.frombuffer(raw.translate(NORMAL), np.uint8), np.array([0, len(raw)]), _GAP)
+    lo, hi = word_bounds(np.frombuffer(raw.translate(NORMAL), np.uint8), _GAP)
     kept, at = [], 0
     for x in found:
         if not window <= x["hi"] - x["lo"] < min_span:
@@ -298,25 +325,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window:
     more than ``max_coverage`` of all words are hit. Texts without such spans, and null ones, are unchanged.
 
     With one automaton this is a single pass without a shuffle; with several the hits join back by row."""
-    shards = list(automata(items, window=window, shard_words=shard_words))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    clean = _clean(text, min_span, max_coverage, window)
-    if len(shards) == 1:
-        scan = _scan(*shards[0], text_of=lambda batch: batch.column("_doc").field(text))
-        found = docs.select(whole)
+    shards, clean = Shards(items, window=window, shard_words=shard_words), _clean(text, min_span, max_coverage, window)
+    if shards.number == 1:
+        scan = _scan(*shards.automaton(0), text_of=lambda batch: batch.column("_doc").field(text))
+        found = docs.select(kept_columns(docs).alias("_doc"))
         out = found.mapInArrow(lambda batches: clean(scan(batches)), found.schema)
     else:
-        row = F.monotonically_increasing_id().alias("_row")
-        hits, _ = materialize(find_hits(docs.select(row, F.col(text).alias("_text")), shards).filter(F.size("spans") > 0).select("_row", "n_words", "spans"), "hits")
-        found = docs.select(row, whole).join(hits, "_row", "left").drop("_row")
+        rows = Rows(docs)
+        hits, _ = materialize(find_hits(rows.select(F.col(f"`{text}`").alias("_text")), shards).filter(F.size("spans") > 0).select("_row", "n_words", "spans"), "hits")
+        found = rows.select(kept_columns(docs).alias("_doc")).join(hits, "_row", "left").drop("_row")
         out = found.mapInArrow(clean, found.select("_doc").schema)
-    return out.select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+    return out.select(*unpacked(docs))
 
 
 def digests(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Per row: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated``."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_id"), F.col(text).alias("_text"))
-    hits = find_hits(rows, list(automata(items, window=window, shard_words=shard_words)))
+    shards, columns = Shards(items, window=window, shard_words=shard_words), (F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").alias("_text"))
+    rows = docs.select(F.lit(0).cast("long").alias("_row"), *columns) if shards.number == 1 else Rows(docs).select(*columns)
+    hits = find_hits(rows, shards)
     named = F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256")
     out = hits.select(F.col("_id").alias("doc_id"), "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), named)
     return out.withColumn("contaminated", F.col("n_hit") > 0)

@@ -15,7 +15,7 @@ distance ``r = sqrt(2 - 2 * threshold)`` or less. Exact copies meet first and tr
 Defined results: a vector that is null, empty, zero, or holds null or non-finite components, or whose label is null, links
 with nothing and is its own component; vectors of different lengths do not link; repeated rows are vectors of their own
 (copies link, as their cosine is one); a null id is a component's id only if it has no other, and ``kept`` compares
-null-safely. Empty tables give empty results. Columns may have any names. The input must be a replayable scan.
+null-safely. Empty tables give empty results. Columns may have any names. Rows are told apart by file and place.
 
 In data without structure (independent directions in many dimensions) all distances to pivots are about equal; then no
 bound excludes a cell and the join compares all blocks of a label. The result is exact there too, at quadratic cost.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranksmith.llm.components import connected_components
-from ranksmith.llm.storage import materialize, small_batches
+from ranksmith.llm.storage import Rows, materialize, small_batches, wider
 
 THRESHOLD = 0.93
 CELL = 2000
@@ -221,10 +221,8 @@ def near_duplicates(embeddings: DataFrame, vec_id: str = "vec_id", vector: str =
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be above 0 and at most 1")
     small_batches(embeddings.sparkSession)
-    columns = [F.monotonically_increasing_id().alias("row"), F.col(vec_id).alias("vec_id"), F.col(label).cast("string").alias("label"), F.col(vector).alias("vec")]
-    rows = embeddings.select(*columns)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    rows = rows.mapInArrow(_digest, f"{schema}, digest binary")
+    rows = Rows(embeddings).select(F.col(f"`{vec_id}`").alias("vec_id"), F.col(f"`{label}`").cast("string").alias("label"), F.col(f"`{vector}`").alias("vec")).withColumnRenamed("_row", "row")
+    rows = rows.mapInArrow(_digest, wider(rows.schema, digest="binary"))
     usable = rows.filter("digest is not null and label is not null").select("row", "vec_id", F.concat_ws("/", F.size("vec"), "label").alias("grp"), "digest", "vec")
     first = usable.groupBy("grp", "digest").agg(F.min("row").alias("row"), F.count("*").alias("n"), F.min("vec_id").alias("least"))
     classes, _ = materialize(first, "classes")

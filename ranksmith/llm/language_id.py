@@ -12,7 +12,7 @@ For each language the log posterior is the sum of
   page's own share is taken out of each level before it judges that page.
 
 The trigram tables are fitted on at most ``MAX_ROWS`` labelled documents per language, those with the smallest hashed
-ids. A text of at least ``EFFECTIVE`` trigrams whose mean log likelihood is below that of every fitted document by
+ids, less those of more than ``MAX_TRAINING_CHARS``. A text of at least ``EFFECTIVE`` trigrams whose mean log likelihood is below that of every fitted document by
 ``MARGIN`` is in no known language.
 
 Result: the language with the largest posterior, or ``und`` if its posterior is below ``min_confidence``, if the text
@@ -31,10 +31,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ranksmith.functions.binding import let
-from ranksmith.llm.arrays import chunks, utf8
-from ranksmith.llm.storage import materialize, small_batches
+from ranksmith.llm.arrays import chunks, segments, utf8
+from ranksmith.llm.storage import materialize, small_batches, wider
 
 MAX_ROWS = 1000
 BUCKETS = 1 << 15
@@ -47,7 +48,12 @@ MIN_CONFIDENCE = 0.5
 BROADCAST_LEVELS = 10_000
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "ie": "en", "it": "it", "pt": "pt", "nl": "nl"}
 UNKNOWN = "und"
+#: Labels that stand between a country suffix and a domain.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+PIECE_BYTES = 1 << 18
+MAX_TRAINING_CHARS = 100_000
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_GAP = np.arange(256) == 32
 
 
 def padded(raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +86,11 @@ class TextModel:
 
     def means(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean log likelihood of each text for each language, and its number of trigrams."""
+        if len(offsets) == 2 and len(raw) > 2 * PIECE_BYTES:  # a long text: trigrams lie within words, so its pieces add up
+            pieces = segments(np.frombuffer(raw.translate(_NORMAL), np.uint8), PIECE_BYTES, 0, _GAP)
+            found = [self.means(p.tobytes(), np.array([0, len(p)])) for p, _, _ in pieces]
+            n = sum(k for _, k in found)
+            return sum(m * k[:, None] for m, k in found) / np.maximum(n, 1)[:, None], n
         data, offsets = padded(raw, offsets)
         at, bucket = trigrams(data, offsets)
         total = np.zeros((len(at) + 1, len(self.languages)))
@@ -113,13 +124,14 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     picked = few.withColumn("_n", F.row_number().over(place)).filter(F.col("_n") <= max_rows).select(F.col("_lang").alias("_l"), "_id")
     # max_rows ids for each language, and of rows that share an id one text.
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(lang).cast("string").alias("_l"), F.col(text).alias("_t")).join(F.broadcast(picked), ["_l", "_id"])
+    rows = rows.filter(F.length("_t").isNull() | (F.length("_t") <= MAX_TRAINING_CHARS))
     found = rows.groupBy("_l", "_id").agg(F.min("_t").alias("_t")).orderBy("_l", "_id").collect()
     return fit_text_model([(r["_t"] or "").encode() for r in found], [r["_l"] for r in found])
 
 
 def visible_text(html: Column) -> Column:
-    """Text of a page without scripts, styles, comments, tags and entities."""
-    return F.regexp_replace(html, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?[a-z0-9]+;", " ")
+    """Text of a page without scripts, styles, comments, tags and entities. A script, style or comment that is not closed goes on to the end."""
+    return F.regexp_replace(html, r"(?is)<(script|style)\b[^<>]*>(?:.*?</\1\s*>|.*)|<!--(?:.*?-->|.*)|<[^<>]*>|&#?[a-z0-9]+;", " ")
 
 
 def declared_language(html: Column) -> Column:
@@ -170,7 +182,7 @@ def identify(df: DataFrame, model: TextModel, text: Column | str, levels: list[C
     names = [f"_level{i}" for i in range(len(levels))]
     rows = df.select(kept.alias("_kept"), *([] if held else [text_column.alias("_text")]), (none if declared is None else declared).alias("_declared"), (none if suffix is None else suffix).alias("_suffix"), *[x.cast("string").alias(n) for x, n in zip(levels, names)])
     if not languages:
-        return rows.select(*[F.col(f"_kept.`{c}`") for c in keep], F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), none.alias("text_language"), F.col("_declared").alias("declared"), F.lit(None).cast("double").alias("prior"))
+        return rows.select(*[F.col("_kept").getField(c).alias(c) for c in keep], F.lit(UNKNOWN).alias("language"), F.lit(0.0).alias("confidence"), none.alias("text_language"), F.col("_declared").alias("declared"), F.lit(None).cast("double").alias("prior"))
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
@@ -180,12 +192,12 @@ def identify(df: DataFrame, model: TextModel, text: Column | str, levels: list[C
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 offsets, data = utf8(text_of(batch))
-                for lo, hi in chunks(offsets, 1 << 18):
+                for lo, hi in chunks(offsets, PIECE_BYTES):
                     means, n = shared.value.means(data[offsets[lo] : offsets[hi]].tobytes(), offsets[lo : hi + 1] - offsets[lo])
                     flat = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * means.shape[1], pa.int32()), pa.array(means.ravel()))
                     yield pa.RecordBatch.from_arrays([*[batch.column(f.name)[lo:hi] for f in others], flat, pa.array(n, pa.int64())], [*[f.name for f in others], "_means", "_n"])
 
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in others] + ["_means array<double>, _n long"])
+        schema = wider(T.StructType(others), _means="array<double>", _n="long")
         weight = F.least(F.col("_n").cast("double"), F.lit(EFFECTIVE))
         logs = _plus(F.transform("_means", lambda m: m * weight), _plus(_points_at(F.col("_declared"), languages, DECLARED_RIGHT), _points_at(F.col("_suffix"), languages, SUFFIX_RIGHT)))
         return rows.mapInArrow(run, schema).withColumn("_logs", logs).withColumn("_own", _normal(F.col("_logs")))
@@ -234,14 +246,16 @@ def identify(df: DataFrame, model: TextModel, text: Column | str, levels: list[C
     foreign = (F.col("_n") >= EFFECTIVE) & (F.array_max("_means") < model.floor)
     language = F.when(evidence & ~foreign & (confidence >= min_confidence), F.element_at(names_array, best("_post"))).otherwise(UNKNOWN)
     text_language = F.when(F.col("_n") > 0, F.element_at(names_array, best("_means")))
-    return out.select(*[F.col(f"_kept.`{c}`") for c in keep], language.alias("language"), confidence.alias("confidence"), text_language.alias("text_language"), F.col("_declared").alias("declared"), F.element_at("_prior", best("_post")).alias("prior"))
+    return out.select(*[F.col("_kept").getField(c).alias(c) for c in keep], language.alias("language"), confidence.alias("confidence"), text_language.alias("text_language"), F.col("_declared").alias("declared"), F.element_at("_prior", best("_post")).alias("prior"))
 
 
 def identify_pages(pages: DataFrame, model: TextModel, url: str = "url", html: str = "html", keep: tuple[str, ...] = ("page_id",), min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Languages of web pages, from text, declared language, address suffix and host."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[^:/?#]*://([^/?#:]*)", 1))
     labels = F.split(host, r"\.")
-    suffix, domain = F.element_at(labels, -1), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")
+    suffix = F.element_at(labels, -1)
+    depth = F.when((F.length(suffix) == 2) & F.try_element_at(labels, F.lit(-2)).isin(*SECOND_LEVEL), 3).otherwise(2)
+    domain = F.array_join(F.slice(labels, F.greatest(F.size(labels) - depth + 1, F.lit(1)), depth), ".")
     pairs = [F.lit(x) for pair in SUFFIXES.items() for x in pair]
     return identify(pages, model, visible_text(F.col(html)), [suffix, domain, host], declared_language(F.col(html)), F.try_element_at(F.create_map(*pairs), suffix), list(keep), min_confidence)
 

@@ -15,8 +15,8 @@ A cell with more than ``BIG_CELL`` fingerprints is verified through thirds of th
 one third equal), which finds the same links without comparing all of its pairs.
 
 Defined results: null and empty texts have fingerprint zero; null ids are kept in the result and are a component's
-id only if it has no other; rows are told apart by position, so repeated rows are documents of their own, and of
-tied rows the first stays. Columns may have any names. The input must be a replayable scan.
+id only if it has no other; rows are told apart by file and place, so repeated rows are documents of their own, and of
+tied rows the first stays. Columns may have any names. Long texts are read in pieces.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from ranksmith.llm.arrays import utf8
+from ranksmith.llm.arrays import CHUNK_BYTES, segments, utf8
 from ranksmith.llm.components import connected_components
-from ranksmith.llm.storage import materialize, small_batches
+from ranksmith.llm.storage import Rows, kept_columns, materialize, small_batches, unpacked, wider
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -41,18 +41,31 @@ BIG_CELL = 4096
 _THIRDS = [np.uint64(x) for x in (0x00000000001FFFFF, 0x000007FFFFE00000, 0xFFFFF80000000000)]
 
 
-def fingerprint(text: bytes) -> int:
-    """The unsigned 64-bit fingerprint of a text."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    shingles = [b" ".join(words)] if len(words) < SHINGLE else list(map(b" ".join, zip(words, words[1:], words[2:])))
-    h = np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles)).astype(">u8")
-    if len(h) > 65535:
-        ones = sum(np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64) for part in np.array_split(h, len(h) // 65535 + 1))
-    else:
-        ones = np.unpackbits(h.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
+def ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit, the highest bit first."""
+    total = np.zeros(64, np.int64)
+    for part in np.array_split(hashes.astype(">u8"), len(hashes) // 65535 + 1):
+        total += np.unpackbits(part.view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
+    return total
+
+
+def majority(counts: np.ndarray, n: int) -> int:
+    """The fingerprint whose bits are set in over half of ``n`` hashes."""
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """The unsigned 64-bit fingerprint of a text; a long one is read in pieces."""
+    counts, n, words = np.zeros(64, np.int64), 0, []
+    for piece, _, repeated in segments(np.frombuffer(text, np.uint8), CHUNK_BYTES, shingle - 1):
+        words = bytes(piece).lower().split()
+        shingles = list(map(b" ".join, zip(*[words[i:] for i in range(shingle)])))
+        if shingles:
+            counts += ones(np.fromiter(map(xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(shingles)))
+            n += len(shingles)
+    if not n:
+        return xxh64_intdigest(b" ".join(words), SEED) if words else 0
+    return majority(counts, n)
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,19 +160,17 @@ def fingerprint_links(fps: DataFrame, most: int = MAX_BITS, big: int = BIG_CELL)
     """A forest (``a, b``) with the connectivity of all links among the distinct fingerprints ``fp``."""
     if not 0 <= most <= MAX_BITS:
         raise ValueError(f"the grid finds links of up to {MAX_BITS} bits")
-    # Fingerprints are small and grow 33-fold here, so they are dealt to a fixed number of tasks and not by their own size
+    # Fingerprints are small and grow 33-fold here, so they are dealt to a number of tasks and not by their own size
     # (by a hash: dealing by the fingerprint itself is left out where they come from an aggregation by it).
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     filed = fps.repartition(n, F.xxhash64("fp")).select("fp", F.explode(grid_points(F.col("fp"))).alias("key")).repartition("key").sortWithinPartitions("key")
     return filed.mapInArrow(_forest(most, big), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MAX_BITS, big: int = BIG_CELL) -> DataFrame:
-    """Per row: ``_row, doc_id, fp, component_id, kept`` (the row that stands for its component)."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
-    small_batches(docs.sparkSession)
-    kind = docs.schema[doc_id].dataType.simpleString()
-    marked, _ = materialize(rows.mapInArrow(_fingerprints, f"_row long, _id {kind}, fp long"), "fingerprints")
+def near_duplicates(rows: DataFrame, most: int = MAX_BITS, big: int = BIG_CELL) -> DataFrame:
+    """For rows of ``_row, _id, _text``: ``_row, doc_id, fp, component_id, kept`` (the row that stands for its component)."""
+    small_batches(rows.sparkSession)
+    marked, _ = materialize(rows.mapInArrow(_fingerprints, wider(rows.select("_row", "_id").schema, fp="long")), "fingerprints")
     least = F.min(F.struct(F.col("_id").isNull().alias("n"), "_id", "_row")).alias("first")
     nodes = marked.groupBy("fp").agg(least)
     roots = connected_components(fingerprint_links(nodes.select("fp"), most, big), "a", "b")
@@ -170,14 +181,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return marked.join(of, "fp").select("_row", F.col("_id").alias("doc_id"), "fp", "component_id", (F.col("_row") == F.col("_first")).alias("kept"))
 
 
+def _ids_and_texts(rows: Rows, doc_id: str, text: str) -> DataFrame:
+    return rows.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))
+
+
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id, of ties the first."""
-    keep, _ = materialize(near_duplicates(docs, doc_id, text, most).filter("kept").select("_row"), "kept")
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    return rows.join(keep, "_row", "left_semi").select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+    rows = Rows(docs)
+    gone, _ = materialize(near_duplicates(_ids_and_texts(rows, doc_id, text), most).filter("not kept").select("_row"), "gone")
+    return rows.select(kept_columns(docs).alias("_doc")).join(gone, "_row", "left_anti").select(*unpacked(docs))
 
 
 def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``doc_id, fingerprint, component_id, kept``."""
-    found = near_duplicates(docs, doc_id, text)
+    found = near_duplicates(_ids_and_texts(Rows(docs), doc_id, text))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "kept")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranksmith.llm.arrays import lists
-from ranksmith.llm.storage import small_batches
+from ranksmith.llm.storage import small_batches, wider
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -129,7 +129,7 @@ def _run(df: DataFrame, keep: list[str], rule: str, path: str, texts_of, ends_of
         raise ValueError(f"rule must be one of {RULES}")
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(Encoder(path))
-    schema = ", ".join([f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep] + [f"n_tokens long, section_tokens array<{'double' if rule == 'split' else 'long'}>, n_crossing long"])
+    schema = wider(df.select(*keep).schema, n_tokens="long", section_tokens=f"array<{'double' if rule == 'split' else 'long'}>", n_crossing="long")
     return df.mapInArrow(_count(shared, texts_of, ends_of, keep, rule), schema)
 
 

@@ -6,7 +6,7 @@ bucket. A document is the mean of the embedding vectors of all its features; a l
 two classes follow. Misspelt words share most of their grams with the words of the training texts.
 
 Fitting takes a bounded sample of labelled rows: at most ``max_rows`` per class, those with the smallest hashed ids,
-whatever the size of the input. The class shares of *all* labelled training rows then set the intercept, as the
+whatever the size of the input, less those whose text is longer than ``MAX_TRAINING_CHARS``. The class shares of *all* labelled training rows then set the intercept, as the
 sample is balanced. Scoring reads every text whole; the model is one vector of scalars (a bucket's embedding times
 the difference of the two output rows), so a batch is scored by array operations without a Python loop over words.
 
@@ -26,10 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ranksmith.llm.arrays import chunks, mix, utf8
-from ranksmith.llm.storage import small_batches
+from ranksmith.llm.arrays import chunks, mix, segments, utf8
+from ranksmith.llm.storage import small_batches, wider
 
 MAX_ROWS = 3000
+MAX_TRAINING_CHARS = 100_000
+PIECE_BYTES = 1 << 19
 BUCKETS = 1 << 18
 DIMENSIONS = 4
 GRAMS = (3, 6)
@@ -38,6 +40,7 @@ EPOCHS = 10
 DECAY = 3e-5
 FOLDS = 5
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_GAP = np.arange(256) == 32
 _BASE = np.uint64(0x100000001B3)
 
 
@@ -79,14 +82,22 @@ class Model:
     intercept: float
     grams: tuple[int, int] = GRAMS
 
-    def scores(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+    def _sums(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Summed weights and number of the features of each text."""
         raw, at = padded(raw, offsets)
         total, count = np.zeros(len(raw) + 1), np.zeros(len(raw) + 1, np.int32)
         for first, bucket in features(raw, at, self.grams, len(self.weight)):
             # A gram start occurs once for each length, so plain indexing adds each gram once.
             total[first + 1] += self.weight[bucket]
             count[first + 1] += 1
-        sums, n = np.diff(np.cumsum(total)[at]), np.diff(np.cumsum(count, dtype=np.int64)[at])
+        return np.diff(np.cumsum(total)[at]), np.diff(np.cumsum(count, dtype=np.int64)[at])
+
+    def scores(self, raw: bytes, offsets: np.ndarray) -> np.ndarray:
+        if len(offsets) == 2 and len(raw) > 2 * PIECE_BYTES:  # a long text: features lie within words, so its pieces add up
+            pieces = segments(np.frombuffer(raw.translate(_NORMAL), np.uint8), PIECE_BYTES, 0, _GAP)
+            sums, n = (sum(x) for x in zip(*(self._sums(p.tobytes(), np.array([0, len(p)])) for p, _, _ in pieces)))
+        else:
+            sums, n = self._sums(raw, offsets)
         logits = self.intercept + sums / np.maximum(n, 1)
         return 1 / (1 + np.exp(-np.clip(logits, -500, 500)))
 
@@ -167,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         picked = usable.filter(F.col("_y") == y).dropDuplicates(["_id"]).withColumn("_h", F.xxhash64(F.col("_id").cast("string"), F.lit(seed))).orderBy("_h", "_id").limit(max_rows)
         sample = sample.unionByName(picked.select("_id", "_y"))
     # At most 2 * max_rows ids, so they may be broadcast.
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).join(F.broadcast(sample), "_id").orderBy("_id", "_y", "_t").limit(2 * max_rows).collect()
+    texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).filter(F.length("_t").isNull() | (F.length("_t") <= MAX_TRAINING_CHARS))
+    rows = texts.join(F.broadcast(sample), "_id").orderBy("_id", "_y", "_t").limit(2 * max_rows).collect()
     positive = (counts.get(1, 0) + 1) / (sum(counts.values()) + 2)
     return fit([(r["_t"] or "").encode() for r in rows], [r["_y"] for r in rows], positive, seed=seed)
 
@@ -181,12 +193,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = utf8(batch.column("_text"))
-            found = [shared.value.scores(data[offsets[lo] : offsets[hi]].tobytes(), offsets[lo : hi + 1] - offsets[lo]) for lo, hi in chunks(offsets, 1 << 19)]
+            found = [shared.value.scores(data[offsets[lo] : offsets[hi]].tobytes(), offsets[lo : hi + 1] - offsets[lo]) for lo, hi in chunks(offsets, PIECE_BYTES)]
             column = pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], column], [*keep, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_text")
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(run, wider(rows.drop("_text").schema, score="double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = FOLDS, max_rows: int = MAX_ROWS) -> DataFrame:
