@@ -152,15 +152,16 @@ def apply_tags(text: Column, spans: Column, pre: str = "<em>", post: str = "</em
     """``text`` with tags around spans (``start`` from 0, ``end`` beyond the last character), which are sorted here.
 
     Spans must lie within the text, hold at least a character and not overlap; else the query fails."""
-    spans = F.array_sort(spans)
     clean = escape_html if escape else (lambda x: x)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
-    def add(s: Column, x: Column) -> Column:
-        fine = (x["start"] >= s["at"]) & (x["start"] < x["end"]) & (x["end"] <= F.length(text))
-        begin = F.when(fine, x["start"]).otherwise(F.raise_error(F.lit("highlight spans must not overlap and must lie within the text")).cast("int"))
-        before = F.substring(text, s["at"] + 1, begin - s["at"])
-        inside = F.substring(text, begin + 1, x["end"] - begin)
-        return F.struct(F.concat(s["out"], clean(before), F.lit(pre), clean(inside), F.lit(post)).alias("out"), x["end"].cast("int").alias("at"))
+    def pieces(s: Column) -> Column:
+        def piece(x: Column, i: Column) -> Column:
+            at = F.when(i == 0, 0).otherwise(F.element_at(s, F.greatest(i, F.lit(1)))["end"])
+            fine = (x["start"] >= at) & (x["start"] < x["end"]) & (x["end"] <= F.length(text))
+            begin = F.when(fine, x["start"]).otherwise(F.raise_error(F.lit("highlight spans must not overlap and must lie within the text")).cast("int"))
+            return F.concat(clean(F.substring(text, at + 1, begin - at)), F.lit(pre), clean(F.substring(text, begin + 1, x["end"] - begin)), F.lit(post))
 
-    return F.aggregate(spans, start, add, lambda s: F.concat(s["out"], clean(F.substring(text, s["at"] + 1, F.length(text)))))
+        rest = F.when(F.size(s) > 0, F.try_element_at(s, F.lit(-1))["end"]).otherwise(0)
+        return F.concat(F.array_join(F.transform(s, piece), ""), clean(F.substring(text, rest + 1, F.length(text))))
+
+    return let(F.array_sort(spans), pieces)

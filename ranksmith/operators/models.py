@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: kind -> Spark type of a result.
-KINDS = {"dense": "array<float>", "sparse": "map<string,double>", "score": "double"}
+KINDS = {"dense": "array<float>", "sparse": "map<string,double>", "score": "double", "spans": "array<struct<start:int,end:int>>"}
 
 
 @dataclass(frozen=True)
@@ -45,8 +45,10 @@ class ModelRegistry:
             raise ValueError(f"unknown model {model_id!r}")
         return self.models[model_id]
 
-    def column(self, model_id: str, *inputs: Column, query: bool = False) -> Column:
-        """A model's results for input columns. Null inputs reach the model as None only if another input is there."""
+    def column(self, model_id: str, *inputs: Column, query: bool = False, batch_size: int | None = None) -> Column:
+        """A model's results for input columns. Null inputs reach the model as None only if another input is there.
+
+        The model gets a whole Arrow batch at a time, or ``batch_size`` inputs."""
         model = self.get(model_id)
         function, load = (model.query_function if query and model.query_function else model.function), model.load
 
@@ -56,10 +58,12 @@ class ModelRegistry:
                 rows = list(zip(*[p.where(p.notna(), None) for p in part]))
                 have = [i for i, r in enumerate(rows) if any(x is not None for x in r)]
                 have.sort(key=lambda i: sum(len(str(x)) for x in rows[i] if x is not None))  # texts of a length together
-                got = run([rows[i] if len(part) > 1 else rows[i][0] for i in have])
                 out: list = [None] * len(rows)
-                for i, x in zip(have, got):
-                    out[i] = x
+                step = batch_size or max(1, len(have))
+                for lo in range(0, len(have), step):
+                    now = have[lo : lo + step]
+                    for i, x in zip(now, run([rows[i] if len(part) > 1 else rows[i][0] for i in now])):
+                        out[i] = x
                 yield pd.Series(out, dtype=object)
 
         if len(inputs) == 1:

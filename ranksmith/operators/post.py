@@ -112,6 +112,30 @@ def highlight(text: Column, spans: Column, pre: str = "<em>", post: str = "</em>
     return F.when(F.size(spans) > 0, T.apply_tags(text, spans, pre, post, encoder == "html")).otherwise(none)
 
 
+def highlight_terms(text: Column, terms: Sequence[str], pre: str = "<em>", post: str = "</em>", encoder: str = "default", no_match_size: int = 0) -> Column:
+    """``highlight`` of the spans of ``term_spans``, without making the spans: one replacement, or pieces that are escaped and joined."""
+    import re
+
+    if encoder not in ("default", "html"):
+        raise ValueError("encoder must be default or html")
+    if not terms:
+        return highlight(text, F.array().cast("array<struct<start:int,end:int>>"), pre, post, encoder, no_match_size)
+    pattern = r"(?i)(?<![A-Za-z0-9])(?:" + "|".join(re.escape(t) for t in terms) + r")(?![A-Za-z0-9])"
+    found = F.regexp_like(text, F.lit(pattern))
+    none = highlight(text, F.array().cast("array<struct<start:int,end:int>>"), pre, post, encoder, no_match_size)
+    if encoder == "default":
+        tagged = F.regexp_replace(text, pattern, f"{_replacement(pre)}$0{_replacement(post)}")
+    else:
+        inside = F.transform(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), lambda x: F.concat(F.lit(pre), T.escape_html(x), F.lit(post)))
+        between = F.transform(F.split(text, pattern, -1), T.escape_html)
+        tagged = F.array_join(F.flatten(F.zip_with(between, inside, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    return F.when(found, tagged).otherwise(none)
+
+
+def _replacement(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("$", "\\$")
+
+
 def query_texts(query: dict) -> list[str]:
     """The texts that a query's clauses ask for, in order and without repeats; ``must_not`` does not count."""
     (kind, body), *rest = query.items()

@@ -7,7 +7,7 @@ token, so the index grows and splits with the corpus; the query side is a handfu
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -97,14 +97,36 @@ class SparseIndex:
     clustered: DataFrame
     summary: DataFrame
     parameters: IndexParameters
+    documents: int | None = None
 
 
 def build(vectors: DataFrame, parameters: IndexParameters = IndexParameters(), documents: int | None = None) -> SparseIndex:
     """``vectors``: ``doc_id, token, weight`` with raw weights. ``documents``: the corpus size, counted if not given."""
     folded = quantized(fold_tokens(vectors), parameters.quantization_ceiling_ingest)
-    n = parameters.postings(vectors.select("doc_id").distinct().count() if documents is None else documents)
-    clustered = clusters(postings(folded, n), folded, parameters.cluster_ratio)
-    return SparseIndex(folded, clustered, summaries(clustered, folded, parameters.summary_prune_ratio), parameters)
+    documents = vectors.select("doc_id").distinct().count() if documents is None else documents
+    clustered = clusters(postings(folded, parameters.postings(documents)), folded, parameters.cluster_ratio)
+    return SparseIndex(folded, clustered, summaries(clustered, folded, parameters.summary_prune_ratio), parameters, documents)
+
+
+def merge(indices: Sequence[SparseIndex], parameters: IndexParameters | None = None) -> SparseIndex:
+    """One index of several with separate documents: their quantized vectors are kept, postings and clusters are made anew."""
+    p = parameters or indices[0].parameters
+    if any(x.parameters.quantization_ceiling_ingest != p.quantization_ceiling_ingest for x in indices):
+        raise ValueError("indexes of different ceilings cannot be merged")
+    vectors = indices[0].vectors
+    for x in indices[1:]:
+        vectors = vectors.unionByName(x.vectors)
+    known = [x.documents for x in indices]
+    documents = vectors.select("doc_id").distinct().count() if None in known else sum(known)
+    clustered = clusters(postings(vectors, p.postings(documents)), vectors, p.cluster_ratio)
+    return SparseIndex(vectors, clustered, summaries(clustered, vectors, p.summary_prune_ratio), p, documents)
+
+
+def search_nested(index: SparseIndex, parents: DataFrame, tokens: Mapping[int, float], k: int = 10, children: int = 100, **more) -> DataFrame:
+    """The ``k`` best parents by their best child. The index holds children; ``parents`` maps their ``doc_id`` to ``parent``.
+    The search collects ``children`` of them."""
+    found = search(index, tokens, max(k, children), **more).select("doc_id", "score").join(parents, "doc_id")
+    return top(found.groupBy(F.col("parent").alias("doc_id")).agg(F.max("score").alias("score")), k)
 
 
 def query_tokens(tokens: Mapping[int, float], parameters: IndexParameters, top_n: int | None = None) -> dict[int, int]:

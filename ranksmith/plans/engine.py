@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
@@ -74,51 +75,75 @@ class Engine:
         raise dsl.QueryError(f"[{kind}] cannot be used as a filter")
 
     # Clauses that score.
-    def scored(self, query: Mapping, corpus: DataFrame | None = None) -> DataFrame:
-        """``doc_id, score`` of one clause over the (filtered) corpus."""
-        rows = self.corpus if corpus is None else corpus
+    def _rows(self, within: Column | None) -> DataFrame:
+        return self.corpus if within is None else self.corpus.filter(within)
+
+    def scored(self, query: Mapping, within: Column | None = None) -> DataFrame:
+        """``doc_id, score`` of one clause among the rows that meet ``within``; statistics of words cover the whole corpus."""
         kind, body = dsl.clause(query)
         if kind in ("term", "terms", "range", "exists", "match_all", "constant_score"):
             boost = body.get("boost", 1.0)
             if kind in ("term", "range"):
                 boost = dsl.field_body(kind, body)[1].get("boost", 1.0)
-            return retrieval.constant(rows, self.condition(query), boost)
+            return retrieval.constant(self._rows(within), self.condition(query), boost)
         if kind == "match":
             name, s = dsl.field_body(kind, body)
-            return retrieval.match(rows, str(s.get("query", s.get("value"))), name, operator=s.get("operator", "or"))
+            return retrieval.match(self.corpus, str(s.get("query", s.get("value"))), name, operator=s.get("operator", "or"), filter=within)
         if kind == "multi_match":
-            parts = [retrieval.match(rows, body["query"], name) for name in body["fields"]]
+            parts = [retrieval.match(self.corpus, body["query"], name, filter=within) for name in body["fields"]]
             return retrieval.nested_max(_union(parts))
         if kind == "bool":
-            return self._boolean(body, rows)
+            return self._boolean(body, within)
         if kind == "nested":
-            return self._nested(body, rows)
+            return self._nested(body, within)
         if kind in ("knn", "neural", "neural_knn"):
-            return self._dense(kind, body, rows)
+            return self._dense(kind, body, within)
         if kind == "neural_sparse":
-            return self._sparse(body, rows)
+            return self._sparse(body, within)
         raise dsl.QueryError(f"[{kind}] cannot be scored here")
 
-    def _boolean(self, body: Mapping, rows: DataFrame) -> DataFrame:
-        rows = rows.filter(self.condition({"bool": {k: body[k] for k in ("filter", "must_not") if k in body}}))
+    def _boolean(self, body: Mapping, within: Column | None) -> DataFrame:
+        within = _and(within, self.condition({"bool": {k: body[k] for k in ("filter", "must_not") if k in body}}))
         must, should = dsl.as_list(body.get("must")), dsl.as_list(body.get("should"))
         if not must and not should:
-            return retrieval.constant(rows, F.lit(True), 0.0)
+            return retrieval.constant(self._rows(within), F.lit(True), 0.0)
         need = body.get("minimum_should_match", 0 if must or body.get("filter") else 1)
-        parts = [[self.scored(q, rows) for q in group] for group in (must, should)]
-        everything = [retrieval.constant(rows, F.lit(True), 0.0)] if not must and need == 0 else []
+        parts = [[self.scored(q, within) for q in group] for group in (must, should)]
+        everything = [retrieval.constant(self._rows(within), F.lit(True), 0.0)] if not must and need == 0 else []
         return retrieval.boolean(parts[0] + everything, parts[1], minimum=need)
 
-    def _nested(self, body: Mapping, rows: DataFrame) -> DataFrame:
-        """Children of an array column as rows of their own; the best child's score counts."""
+    def _children(self, body: Mapping, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The elements of an array column as rows (``doc_id`` is theirs, ``_parent`` and ``_i`` say where they are), and their scores."""
         path = body["path"]
         if body.get("score_mode", "max") != "max":
             raise dsl.QueryError("only score_mode max is supported")
-        children = rows.select(F.col("doc_id").alias("_parent"), F.posexplode(path).alias("_i", "_c")).select("_parent", F.concat_ws("/", "_parent", "_i").alias("doc_id"), "_c.*")
+        children = rows.select(F.col("doc_id").alias("_parent"), F.posexplode(path).alias("_i", "_c")).select("_parent", "_i", F.concat_ws("/", "_parent", "_i").alias("doc_id"), "_c.*")
         inner = dsl.rewrite(body["query"], lambda k, b: {n.removeprefix(f"{path}."): v for n, v in b.items()})
-        found = Engine(children, self.models, self.space).scored(inner)
+        return children, Engine(children, self.models, self.space).scored(inner)
+
+    def _nested(self, body: Mapping, within: Column | None) -> DataFrame:
+        """The best child's score of each document."""
+        children, found = self._children(body, self._rows(within))
         return retrieval.nested_max(found.join(children.select("doc_id", "_parent"), "doc_id").select(F.col("_parent").alias("doc_id"), "score"))
 
+    def _with_inner_hits(self, out: DataFrame, query: Mapping) -> DataFrame:
+        """A column ``inner_hits_<name>`` (the path if no name is given) for each nested clause that asks for it: the best children
+        of each hit, with their score and place in the array. Only children of the page's hits are scored."""
+        for kind, body in dsl.walk(query):
+            if kind != "nested" or body.get("inner_hits") is None:
+                continue
+            s, path = body["inner_hits"], body["path"]
+            children, found = self._children(body, out.select("doc_id", path))
+            fields = [c for c in children.columns if c not in ("_parent", "_i", "doc_id")]
+            rows = found.join(children, "doc_id").select(F.col("_parent").alias("doc_id"), F.col("_i").alias("child"), "score", *fields)
+            rows = retrieval.inner_hits(rows, s.get("size", 3), s.get("from", 0))
+            texts = self._highlighter(s.get("highlight"), query)
+            rows = texts(rows, path) if texts else rows
+            marked = [c for c in rows.columns if c not in ("doc_id", "place")]
+            lists = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", *marked))).alias(f"inner_hits_{s.get('name', path)}"))
+            out = out.join(lists, "doc_id", "left")
+        return out
+
     def _target(self, name: str, rows: DataFrame) -> tuple[str, bool, bool]:
         """The embedding column of a field, whether it lies in chunks, and whether it is sparse."""
         at = rows.schema
@@ -130,11 +155,12 @@ class Engine:
             return f"{info}.chunks" if chunked else f"{info}.embedding", chunked, isinstance(inner.dataType, T.MapType)
         return name, False, name in at.names and isinstance(at[name].dataType, T.MapType)
 
-    def _dense(self, kind: str, body: Mapping, rows: DataFrame) -> DataFrame:
+    def _dense(self, kind: str, body: Mapping, within: Column | None) -> DataFrame:
         name, s = dsl.field_body(kind, body)
+        rows = self._rows(within)
         target, chunked, is_sparse = self._target(name, rows)
         if is_sparse:
-            return self._sparse({name: {k: v for k, v in s.items() if k in ("query_text", "query_tokens", "model_id", "boost")}}, rows)
+            return self._sparse({name: {k: v for k, v in s.items() if k in ("query_text", "query_tokens", "model_id", "boost")}}, within)
         vector = s.get("vector")
         if vector is None:
             texts = [s.get("query_text")] + ([s["query_image"]] if s.get("query_image") else [])
@@ -150,24 +176,30 @@ class Engine:
             out = scored.filter(F.col("score") >= s["min_score"]) if "min_score" in limits else retrieval.top(scored, s.get("k") or 10)
         return out.withColumn("score", F.col("score") * s["boost"]) if s.get("boost", 1.0) != 1.0 else out
 
-    def _sparse(self, body: Mapping, rows: DataFrame) -> DataFrame:
+    def _sparse(self, body: Mapping, within: Column | None) -> DataFrame:
         name, s = dsl.field_body("neural_sparse", body)
-        tokens = s.get("query_tokens")
-        if tokens is None:
-            tokens = self.models.encode_query(s["model_id"], s["query_text"]) if s.get("model_id") else retrieval.analyzed_query(s["query_text"])
+        rows = self._rows(within)
+        tokens = self._query_tokens(s)
         boost, ann = s.get("boost", 1.0), s.get("method_parameters")
         if ann is not None and name in self.indices:
-            allowed = rows.filter(self.condition(ann["filter"])).select("doc_id") if ann.get("filter") else None
-            found = sparse_index.search(self.indices[name], {int(k): v for k, v in tokens.items()}, ann.get("k", 10), ann.get("top_n", 10), ann.get("heap_factor", 1.0), allowed, boost)
+            index = self.indices[name]
+            rows = rows.filter(self.condition(ann["filter"])) if ann.get("filter") else rows
+            allowed = rows.select("doc_id") if ann.get("filter") or within is not None else None
+            # Below the index's threshold the search is exact.
+            found = sparse_index.search(index, {int(k): v for k, v in tokens.items()}, ann.get("k", 10), ann.get("top_n", 10), ann.get("heap_factor", 1.0), allowed, boost, index.documents)
             return found.select("doc_id", "score")
-        if s.get("_two_phase"):
-            return two_phase.two_phase(rows, tokens, vector=name, **s["_two_phase"])
         target, chunked, _ = self._target(name, rows)
         if chunked:
             rows = rows.select("doc_id", F.explode(target).alias("_c")).select("doc_id", F.col("_c.embedding").alias("_v"))
             return retrieval.nested_max(retrieval.sparse_match(rows, tokens, "_v", boost=boost))
         return retrieval.sparse_match(rows.withColumn("_v", F.col(target)), tokens, "_v", boost=boost)
 
+    def _query_tokens(self, s: Mapping) -> Mapping[str, float]:
+        """Given tokens, those of a model, or those of the analyzer."""
+        if s.get("query_tokens") is not None:
+            return s["query_tokens"]
+        return self.models.encode_query(s["model_id"], s["query_text"]) if s.get("model_id") else retrieval.analyzed_query(s["query_text"])
+
     # Request processors.
     def prepared(self, request: Mapping, pipeline: Mapping | None = None) -> dict:
         """The request after its request processors."""
@@ -180,7 +212,7 @@ class Engine:
             elif name == "neural_query_enricher":
                 query = dsl.rewrite(query, _Enricher(settings))
             elif name == "neural_sparse_two_phase_processor":
-                query = self._two_phased(query, request, settings)
+                query, request["_second_phase"] = self._two_phased(query, request, settings)
             elif name not in ("agentic_query_translator",):
                 raise dsl.QueryError(f"unknown request processor {name!r}")
         if dsl.clause(query)[0] == "agentic":
@@ -199,14 +231,16 @@ class Engine:
         if len(str(answer)) > dsl.MAX_TRANSLATED_CHARS:
             raise dsl.QueryError("the agent's query is too long")
         kept = {k: request[k] for k in ("_source", "ext") if k in request}
-        return dict(answer["query"]), {**answer, **kept}
+        said = {"agent_steps": answer.get("agent_steps"), "memory_id": answer.get("memory_id", body.get("memory_id")), "dsl_query": json.dumps(answer["query"])}
+        return dict(answer["query"]), {**{k: v for k, v in answer.items() if k not in ("agent_steps", "memory_id")}, **kept, "_agent": said}
 
-    def _two_phased(self, query: Mapping, request: Mapping, settings: Mapping) -> dict:
+    def _two_phased(self, query: Mapping, request: Mapping, settings: Mapping) -> tuple[dict, dict | None]:
+        """The query with heavy tokens only, and what the window of its best hits is rescored by: the light ones of each clause."""
         s = {**two_phase.DEFAULTS, **settings.get("two_phase_parameter", {}), "enabled": settings.get("enabled", True)}
         if not s["enabled"] or s["prune_ratio"] == 0 or not two_phase.applies(dsl.as_list(request.get("sort"))):
-            return dict(query)
-        more = {"size": request.get("size", 10), **{k: s[k] for k in ("prune_type", "prune_ratio", "expansion_rate", "max_window_size")}}
-        two_phase.check_parameters(more["size"], more["expansion_rate"], more["max_window_size"])
+            return dict(query), None
+        window = two_phase.check_parameters(request.get("size", 10), s["expansion_rate"], s["max_window_size"])
+        light: list[dict] = []
 
         def change(kind: str, body: dict) -> dict:
             if kind != "neural_sparse":
@@ -214,56 +248,131 @@ class Engine:
             name, own = dsl.field_body(kind, body)
             if own.get("method_parameters") is not None:
                 two_phase.applies(None, targets_ann=True)
-            return {name: {**own, "_two_phase": {**more, "weight": own.get("boost", 1.0)}}}
+            high, low = two_phase.split_query(self._query_tokens(own), s["prune_type"], s["prune_ratio"])
+            if low:
+                light.append({"neural_sparse": {name: {"query_tokens": low, "boost": own.get("boost", 1.0)}}})
+            return {name: {"query_tokens": high, "boost": own.get("boost", 1.0)}}
 
         kind, body = dsl.clause(query)
-        return {kind: change(kind, body)} if kind == "neural_sparse" else {kind: {**body, "should": [dsl.rewrite(q, change) for q in dsl.as_list(body.get("should"))]}} if kind == "bool" and body.get("should") else dict(query)
+        if kind == "neural_sparse":
+            query = {kind: change(kind, body)}
+        elif kind == "bool" and body.get("should"):
+            query = {kind: {**body, "should": [dsl.rewrite(q, change) for q in dsl.as_list(body["should"])]}}
+        return dict(query), {"queries": light, "window": window, "weight": body.get("boost", 1.0) if kind == "bool" else 1.0} if light else None
+
+    def _second_phase(self, found: DataFrame, spec: Mapping) -> DataFrame:
+        """The window's hits with the scores of the light tokens added; only the window's rows are read again."""
+        head = retrieval.top(found, spec["window"]).select("doc_id")
+        inside = Engine(self.corpus.join(F.broadcast(head), "doc_id", "left_semi"), self.models, self.space)  # at most max_window_size rows
+        more = _union([inside.scored(q) for q in spec["queries"]]).groupBy("doc_id").agg(F.sum("score").alias("score"))
+        return shaping.rescore(found, more, spec["window"], 1.0, spec["weight"])
 
     # The whole request.
-    def hits(self, request: Mapping, pipeline: Mapping | None = None) -> DataFrame:
-        """All matching ``doc_id, score`` (and ``explanation`` if asked for), before paging."""
-        query = request.get("query", {"match_all": {}})
+    def _lists(self, query: Mapping, within: Column | None = None) -> list[DataFrame]:
+        """The scored lists of a hybrid query's sub-queries, or the only one of another query."""
         kind, body = dsl.clause(query)
         if kind == "bool" and any(dsl.clause(q)[0] == "hybrid" for q in dsl.as_list(body.get("must"))):
             # A wrapped hybrid is a plain sum of its sub-queries' scores.
             inner = dsl.clause(dsl.as_list(body["must"])[0])[1]
             first = {k: dsl.as_list(body[k])[:1] for k in ("filter", "must_not") if body.get(k)}
-            return self.scored({"bool": {"must": [{"bool": {"should": inner["queries"]}}], **first}})
+            return [self.scored({"bool": {"must": [{"bool": {"should": inner["queries"]}}], **first}}, within)]
+        if kind != "hybrid":
+            return [self.scored(query, within)]
+        within = _and(within, self.condition(body["filter"])) if body.get("filter") else within
+        return [self.scored(q, within) for q in body["queries"]]
+
+    def hits(self, request: Mapping, pipeline: Mapping | None = None) -> DataFrame:
+        """All matching ``doc_id, score`` (and ``explanation`` if asked for), before paging. A post filter holds before candidates
+        are cut, and does not touch aggregations."""
+        query = request.get("query", {"match_all": {}})
+        kind, body = dsl.clause(query)
+        lists = self._lists(query, self.condition(request["post_filter"]) if request.get("post_filter") else None)
         if kind != "hybrid":
-            return self.scored(query)
-        rows = self.corpus.filter(self.condition(body["filter"])) if body.get("filter") else self.corpus
-        lists = [self.scored(q, rows) for q in body["queries"]]
-        depth = body.get("pagination_depth") or request.get("size", 10)
-        how = fusion_settings(pipeline)
-        if request.get("explain"):
-            return fusion.explain(lists, depth, how["normalization"], how["combination"], how["weights"], **how["parameters"])
-        return fusion.fuse(lists, depth, how["normalization"], how["combination"], how["weights"], **how["parameters"])
+            return self._second_phase(lists[0], request["_second_phase"]) if request.get("_second_phase") else lists[0]
+        depth, how = body.get("pagination_depth") or request.get("size", 10), fusion_settings(pipeline)
+        fuse = fusion.explain if request.get("explain") else fusion.fuse
+        return fuse(lists, depth, how["normalization"], how["combination"], how["weights"], **how["parameters"])
+
+    def _sorted_hits(self, request: Mapping, sort: shaping.Sort) -> DataFrame:
+        """Source rows in the order of a sort by fields, whose score is null: each sub-query's candidates are those that come first
+        in that order (after ``search_after``), whatever they score."""
+        query = request["query"]
+        kind, body = dsl.clause(query)
+        fields = [c for c, _ in sort] + ([request["collapse"]["field"]] if request.get("collapse") else [])
+        rows = self.corpus.select("doc_id", *dict.fromkeys(c for c in fields if c not in ("doc_id", "score")))
+        each = []
+        for i, found in enumerate(self._lists(query, self.condition(request["post_filter"]) if request.get("post_filter") else None)):
+            found = found.filter("score > 0") if kind == "hybrid" else found
+            each.append(found.select("doc_id", F.lit(i).alias("sub_query")).join(rows, "doc_id"))
+        found = _union(each)
+        if request.get("search_after") is not None:
+            found = shaping.search_after(found, sort, request["search_after"])
+        if kind == "hybrid":
+            found = shaping.sort_lists(found, sort, body.get("pagination_depth") or request.get("size", 10))
+        return found.select("doc_id", F.lit(None).cast("double").alias("score")).join(self.corpus, "doc_id")
 
     def search(self, request: Mapping, pipeline: Mapping | None = None) -> DataFrame:
         """Hits with their source fields, in order. Aggregations are planned apart, over ``hits`` joined to the corpus."""
         request = self.prepared(request, pipeline)
-        dsl.check_request({**request, "query": _plain(request["query"])})
-        found = self.hits(request, pipeline)
-        if request.get("min_score") is not None:
-            found = shaping.at_least(found, request["min_score"])
-        out = found.join(self.corpus, "doc_id")
-        if request.get("post_filter"):
-            out = out.filter(self.condition(request["post_filter"]))
-        for r in dsl.as_list(request.get("rescore")):
-            q = r["query"]
-            out = shaping.rescore(out, self.scored(q["rescore_query"]), r.get("window_size", 10), q.get("query_weight", 1.0), q.get("rescore_query_weight", 1.0))
+        dsl.check_request(request)
         sort = [_sort_of(s) for s in dsl.as_list(request.get("sort"))] or list(shaping.BY_SCORE)
+        if "score" in [c for c, _ in sort]:
+            found = self.hits(request, pipeline)
+            if request.get("min_score") is not None:
+                found = shaping.at_least(found, request["min_score"])
+            out = found.join(self.corpus, "doc_id")
+            for r in dsl.as_list(request.get("rescore")):
+                q = r["query"]
+                out = shaping.rescore(out, self.scored(q["rescore_query"]), r.get("window_size", 10), q.get("query_weight", 1.0), q.get("rescore_query_weight", 1.0))
+            if request.get("search_after") is not None:
+                out = shaping.search_after(out, sort, request["search_after"])
+        else:
+            out = self._sorted_hits(request, sort)
         if request.get("collapse"):
             out = shaping.collapse(out, request["collapse"]["field"], sort)
-        if request.get("search_after") is not None:
-            out = shaping.search_after(out, sort, request["search_after"])
         out = shaping.page(out, request.get("size", 10), request.get("from", 0), sort)
+        wanted = self._highlighter(request.get("highlight"), request["query"])
+        out = wanted(out) if wanted else out
+        nested = any(k == "nested" and b.get("inner_hits") is not None for k, b in dsl.walk(request["query"]))
+        out = self._with_inner_hits(out, request["query"]).orderBy(*shaping.order(sort)) if nested else out
+        names = [next(iter(p)) for p in (pipeline or {}).get("response_processors", [])]
+        if "explanation" in out.columns and "explanation" not in self.corpus.columns and "hybrid_score_explanation" not in names:
+            out = out.drop("explanation")
         for processor in (pipeline or {}).get("response_processors", []):
             out = self._responded(out, processor, request)
         if "_source" in request:
-            out = out.select("doc_id", "score", *[c for c in request["_source"] if c in out.columns])
+            added = [c for c in out.columns if c.startswith(("inner_hits_", "ext_")) or c.endswith("_highlight") or c == "explanation"]
+            out = out.select("doc_id", "score", *[c for c in request["_source"] if c in out.columns], *[c for c in added if c not in request["_source"]])
         return out
 
+    def _highlighter(self, highlight: Mapping | None, query: Mapping) -> Callable | None:
+        """A function that adds ``<field>_highlight`` for each field whose highlighter is ``semantic``; a field's options and tags go before
+        the common ones, and the text is that of ``highlight_query``, else of the main query."""
+        targets = {n: s for n, s in (highlight or {}).get("fields", {}).items() if s.get("type", highlight.get("type")) == "semantic"}
+        if not targets:
+            return None
+        texts = post.query_texts(highlight.get("highlight_query") or query)
+
+        def add(rows: DataFrame, path: str = "") -> DataFrame:
+            for name, own in targets.items():
+                options = {**highlight.get("options", {}), **own.get("options", {})}
+                tags = {k: next(iter(dsl.as_list(own.get(f"{k}_tags")) or dsl.as_list(highlight.get(f"{k}_tags"))), options.get(f"{k}_tag")) for k in ("pre", "post")}
+                name = name.removeprefix(f"{path}.") if path else name
+                rows = rows.withColumn(f"{name}_highlight", self._marked(F.col(name), texts, options, tags["pre"] or "<em>", tags["post"] or "</em>"))
+            return rows
+
+        return add
+
+    def _marked(self, column: Column, texts: list[str], options: Mapping, pre: str, behind: str) -> Column:
+        """Tagged text, by a model's spans or by the words of the query."""
+        encoder, head = options.get("encoder", "default"), options.get("no_match_size", 0)
+        if options.get("model_id"):
+            size = options.get("max_inference_batch_size", post.MAX_BATCH_SIZE) if options.get("batch_inference") else 1
+            spans = self.models.column(options["model_id"], F.lit(" ".join(texts)), column, batch_size=size)
+            return post.highlight(column, spans, pre, behind, encoder, head)
+        words = tuple(dict.fromkeys(w for t in texts for w in retrieval.analyzed_query(t)))
+        return post.highlight_terms(column, words, pre, behind, encoder, head)
+
     def _responded(self, out: DataFrame, processor: Mapping, request: Mapping) -> DataFrame:
         (name, settings), *_ = processor.items()
         if name == "rerank":
@@ -276,13 +385,16 @@ class Engine:
             scorer = post.overlap_score if model is None else (lambda q, d: self.models.column(model, F.lit(q), d))
             return post.rerank(out, post.rerank_query(context, request), fields, scorer)
         if name == "semantic_highlighter":
-            texts = post.query_texts(_plain(request["query"]))
-            words = tuple(dict.fromkeys(w for t in texts for w in retrieval.analyzed_query(t)))
+            texts = post.query_texts(request["query"])
             for f in settings["fields"]:
-                out = out.withColumn(f"{f}_highlight", post.highlight(F.col(f), post.term_spans(F.col(f), words), settings.get("pre_tag", "<em>"), settings.get("post_tag", "</em>"), settings.get("encoder", "default"), settings.get("no_match_size", 0)))
+                out = out.withColumn(f"{f}_highlight", self._marked(F.col(f), texts, settings, settings.get("pre_tag", "<em>"), settings.get("post_tag", "</em>")))
             return out
-        if name in ("hybrid_score_explanation", "agentic_context"):
-            return out  # explanations come with the fused result; an agent's steps stay with the caller's agent
+        if name == "hybrid_score_explanation":
+            return out  # the column comes with the fused result of a request that asks to explain
+        if name == "agentic_context":
+            said = request.get("_agent", {})
+            shown = {"agent_steps": settings.get("agent_steps_summary", False), "memory_id": True, "dsl_query": settings.get("dsl_query", False)}
+            return out.withColumns({f"ext_{k}": F.lit(said[k]) for k, show in shown.items() if show and said.get(k) is not None})
         raise dsl.QueryError(f"unknown response processor {name!r}")
 
     def matched(self, request: Mapping, pipeline: Mapping | None = None) -> DataFrame:
@@ -290,9 +402,7 @@ class Engine:
         from ranksmith.operators.aggregations import matched
 
         request = self.prepared(request, pipeline)
-        kind, body = dsl.clause(request["query"])
-        rows = self.corpus.filter(self.condition(body["filter"])) if kind == "hybrid" and body.get("filter") else self.corpus
-        return matched(self.corpus, [self.scored(q, rows) for q in body["queries"]] if kind == "hybrid" else [self.scored(request["query"])])
+        return matched(self.corpus, self._lists(request["query"]))
 
 
 class _Enricher:
@@ -320,9 +430,8 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _plain(query: Mapping) -> dict:
-    """The query without what processors put into it."""
-    return dsl.rewrite(query, lambda k, b: {n: {x: y for x, y in v.items() if x != "_two_phase"} if isinstance(v, Mapping) and k == "neural_sparse" else v for n, v in b.items()})
+def _and(a: Column | None, b: Column) -> Column:
+    return b if a is None else F.coalesce(a, F.lit(False)) & F.coalesce(b, F.lit(False))
 
 
 def _sort_of(sort) -> tuple[str, bool]:
