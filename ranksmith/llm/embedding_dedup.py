@@ -35,9 +35,11 @@ from ranksmith.llm.components import connected_components
 from ranksmith.llm.storage import Rows, materialize, small_batches, wider
 
 THRESHOLD = 0.93
-CELL = 2000
+CELL = 8000
 MAX_PIVOTS = 2048
-BLOCK = 2048
+BLOCK = 8192
+#: Vectors of a block whose products are made at once.
+TILE = (1024, 4096)
 _SLACK = 1e-7
 
 
@@ -114,17 +116,13 @@ def _visit(pivots: dict[str, np.ndarray], cover: dict[str, np.ndarray], r: float
     return run
 
 
-def block_links(owned: np.ndarray, others: np.ndarray, own_ids: np.ndarray, other_ids: np.ndarray, weights: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links of each owned vector (summed weights of the others linked to it), and a star for each component of the block."""
-    linked = owned @ others.T >= threshold
-    linked &= own_ids[:, None] != other_ids[None, :]
-    counts = linked @ weights
-    stars: list[tuple[int, int]] = []
+def _tile_stars(linked: np.ndarray, own_ids: np.ndarray, other_ids: np.ndarray) -> Iterator[tuple[int, int]]:
+    """A star for each component of a matrix of links: its members and the least of them."""
     left = linked.any(axis=1)
     for start in np.flatnonzero(left).tolist():
         if not left[start]:
             continue
-        a, b, front = np.zeros(len(owned), bool), np.zeros(len(others), bool), np.array([start])
+        a, b, front = np.zeros(len(own_ids), bool), np.zeros(len(other_ids), bool), np.array([start])
         a[start] = True
         while len(front):
             new = linked[front].any(axis=0) & ~b
@@ -133,8 +131,33 @@ def block_links(owned: np.ndarray, others: np.ndarray, own_ids: np.ndarray, othe
             a[front] = True
         left &= ~a
         members = np.unique(np.concatenate((own_ids[a], other_ids[b])))
-        stars += [(int(x), int(members[0])) for x in members[1:].tolist()]
-    return counts, stars
+        yield from ((int(x), int(members[0])) for x in members[1:].tolist())
+
+
+def block_links(owned: np.ndarray, others: np.ndarray, own_ids: np.ndarray, other_ids: np.ndarray, weights: np.ndarray, threshold: float, tile: tuple[int, int] = TILE) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links of each owned vector (summed weights of the others linked to it), and a star for each component of the block.
+
+    Products are made tile by tile; the stars of the tiles are united here, so a block returns no more edges than it has vectors."""
+    counts, parent = np.zeros(len(owned), weights.dtype), {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i in range(0, len(owned), tile[0]):
+        own = slice(i, i + tile[0])
+        for j in range(0, len(others), tile[1]):
+            other = slice(j, j + tile[1])
+            linked = owned[own] @ others[other].T >= threshold
+            linked &= own_ids[own, None] != other_ids[None, other]
+            counts[own] += linked @ weights[other]
+            for a, b in _tile_stars(linked, own_ids[own], other_ids[other]):
+                a, b = find(a), find(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+    return counts, [(x, root) for x in list(parent) if (root := find(x)) != x]
 
 
 _LINKS = "row long, links long, root long"

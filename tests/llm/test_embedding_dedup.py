@@ -76,3 +76,11 @@ def test_floats_and_empty(spark):
     got = sorted(tuple(r) for r in E.near_duplicates(df).collect())
     assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]
     assert E.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_tiles_of_a_block_unite():
+    rng = np.random.default_rng(5)
+    u = E.unit(rng.normal(size=(40, 3)))
+    ids, weights = np.arange(40) * 7, rng.integers(1, 5, 40)
+    whole, parts = (E.block_links(u, u, ids, ids, weights, 0.9, tile) for tile in ((1000, 1000), (3, 4)))
+    assert (whole[0] == parts[0]).all() and sorted(whole[1]) == sorted(parts[1]) and len(whole[1]) > 5
