@@ -28,32 +28,44 @@ def tokens(text: Column, pattern: str = WORD) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), 1), F.array().cast("array<string>"))
 
 
+def tokens_among(text: Column, terms) -> Column:
+    """Those of ``tokens`` that are among ``terms``, in order: one search for all terms, so other tokens are never made."""
+    if not terms:
+        return F.array().cast("array<string>")
+    pattern = r"(?<![a-z0-9])(" + "|".join(re.escape(t) for t in sorted(terms)) + r")(?![a-z0-9])"
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(pattern), 1), F.array().cast("array<string>"))
+
+
 def _check_overlap(rate: float) -> None:
     if not 0 <= rate <= 0.5:
         raise ValueError("overlap_rate must be between 0 and 0.5")
 
 
-def _check_limit(limit: int) -> None:
-    if limit != -1 and limit <= 0:
+def _no_limit(limit: int | Column) -> bool:
+    return not isinstance(limit, Column) and limit == -1
+
+
+def _check_limit(limit: int | Column) -> None:
+    if not isinstance(limit, Column) and limit != -1 and limit <= 0:
         raise ValueError("max_chunk_limit must be positive, or -1 for none")
 
 
-def limited(chunks: Column, limit: int = -1, others: int = 0) -> Column:
+def limited(chunks: Column, limit: int | Column = -1, others: int = 0) -> Column:
     """At most ``limit`` chunks less ``others`` strings still to come: the rest is joined into the last one."""
     _check_limit(limit)
-    if limit == -1:
+    if _no_limit(limit):
         return chunks
-    most = max(limit - others, 1)
+    most = F.greatest((limit if isinstance(limit, Column) else F.lit(limit)) - others, F.lit(1))
 
     def cut(c: Column) -> Column:
-        rest = F.concat_ws("", F.slice(c, F.lit(most), F.greatest(F.size(c) - most + 1, F.lit(0))))
-        head = F.slice(c, 1, most - 1) if most > 1 else F.array().cast("array<string>")
+        rest = F.concat_ws("", F.slice(c, most, F.greatest(F.size(c) - most + 1, F.lit(0))))
+        head = F.slice(c, F.lit(1), most - 1)
         return F.when(F.size(c) <= most, c).otherwise(F.concat(head, F.array(rest)))
 
     return let(chunks, cut)
 
 
-def chunk_delimiter(text: Column, delimiter: str = DEFAULT_DELIMITER, limit: int = -1) -> Column:
+def chunk_delimiter(text: Column, delimiter: str = DEFAULT_DELIMITER, limit: int | Column = -1) -> Column:
     """Pieces that end with the delimiter; what follows the last one is a piece of its own."""
     if not delimiter:
         raise ValueError("delimiter must not be empty")
@@ -68,7 +80,7 @@ def _starts(length: Column, size: int, rate: float) -> Column:
     return F.transform(F.sequence(F.lit(0), more), lambda i: i * step)
 
 
-def chunk_fixed_char(text: Column, char_limit: int = DEFAULT_CHAR_LIMIT, overlap_rate: float = 0.0, limit: int = -1) -> Column:
+def chunk_fixed_char(text: Column, char_limit: int = DEFAULT_CHAR_LIMIT, overlap_rate: float = 0.0, limit: int | Column = -1) -> Column:
     """Pieces of ``char_limit`` characters. With a chunk limit the last allowed piece runs to the end of the text."""
     _check_overlap(overlap_rate)
     _check_limit(limit)
@@ -76,15 +88,15 @@ def chunk_fixed_char(text: Column, char_limit: int = DEFAULT_CHAR_LIMIT, overlap
         raise ValueError("char_limit must be positive")
 
     def cut(starts: Column) -> Column:
-        if limit == -1:
+        if _no_limit(limit):
             return F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(char_limit)))
-        return F.transform(F.slice(starts, 1, limit), lambda s, i: F.substring(text, s + 1, F.when((i == limit - 1) & (F.size(starts) > limit), F.length(text)).otherwise(F.lit(char_limit))))
+        return F.transform(F.slice(starts, F.lit(1), limit if isinstance(limit, Column) else F.lit(limit)), lambda s, i: F.substring(text, s + 1, F.when((i == limit - 1) & (F.size(starts) > limit), F.length(text)).otherwise(F.lit(char_limit))))
 
     pieces = let(_starts(F.length(text), char_limit, overlap_rate), cut)
     return F.when(F.length(text) > 0, pieces).otherwise(F.array().cast("array<string>"))
 
 
-def chunk_fixed_token(text: Column, token_limit: int = DEFAULT_TOKEN_LIMIT, overlap_rate: float = 0.0, tokenizer: str = "standard", limit: int = -1) -> Column:
+def chunk_fixed_token(text: Column, token_limit: int = DEFAULT_TOKEN_LIMIT, overlap_rate: float = 0.0, tokenizer: str = "standard", limit: int | Column = -1) -> Column:
     """Pieces of ``token_limit`` tokens cut out of the text with whatever stands between; the first starts at its start.
 
     A piece runs from its first token to the first token of the piece's successor. Token offsets come from the pieces that
@@ -106,7 +118,7 @@ def chunk_fixed_token(text: Column, token_limit: int = DEFAULT_TOKEN_LIMIT, over
         def join(start: Column, last: Column) -> Column:
             return F.concat_ws("", F.slice(p, start + 1, F.when(last, F.size(p)).otherwise(F.lit(token_limit))))
 
-        allowed = starts if limit == -1 else F.slice(starts, 1, limit)
+        allowed = starts if _no_limit(limit) else F.slice(starts, F.lit(1), limit if isinstance(limit, Column) else F.lit(limit))
         return F.transform(allowed, lambda s, i: join(s, (i == limit - 1) & (F.size(starts) > limit)))
 
     pieces = let(parts, lambda p: let(_starts(F.size(p), token_limit, overlap_rate), lambda starts: cut(p, starts)))
@@ -131,6 +143,24 @@ def chunk_list(texts: Column, chunk) -> Column:
     return F.flatten(F.transform(texts, chunk))
 
 
+def chunk_texts(texts: Column, algorithm: str, **parameters) -> Column:
+    """The chunks of a list of strings under one limit: each string may use what the ones before have left, less one chunk for
+    each string to come."""
+    own = dict(parameters)
+    limit = own.pop("max_chunk_limit", own.pop("limit", -1))
+    if limit == -1:
+        return chunk_list(texts, chunker(algorithm, **own))
+    chunker(algorithm, **own, max_chunk_limit=limit)  # checks the parameters
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.size(texts).alias("left"))
+
+    def add(s: Column, t: Column) -> Column:
+        most = F.greatest(F.lit(limit) - F.size(s["out"]) - (s["left"] - 1), F.lit(1))
+        chunks = F.coalesce(ALGORITHMS[algorithm](t, **own, limit=most), F.array().cast("array<string>"))
+        return F.struct(F.concat(s["out"], chunks).alias("out"), (s["left"] - 1).alias("left"))
+
+    return F.aggregate(texts, start, add, lambda s: s["out"])
+
+
 def cascade(text: Column, *chunkers) -> Column:
     """Chunkers one after another, each over the pieces of the one before."""
     pieces = F.array(text)

@@ -66,26 +66,17 @@ def blank_to_null(text: Column) -> Column:
 
 
 def text_embedding(df: DataFrame, registry: ModelRegistry, model_id: str, field_map: Mapping[str, str]) -> DataFrame:
-    """Embeds text columns into vector columns. A list column becomes a list of ``{knn: vector}``; its elements are embedded
-    in one flat pass and gathered again by row."""
+    """Embeds text columns into vector columns. A list column becomes a list of ``{knn: vector}``, whose elements are embedded where
+    the row is."""
     out = df
     for source, target in field_map.items():
         if isinstance(df.schema[source].dataType, T.ArrayType):
-            out = _embed_list(out, registry, model_id, source, target)
+            out = out.withColumn(target, F.transform(registry.list_column(model_id, F.col(source)), lambda v: F.struct(v.alias("knn"))))
         else:
             out = out.withColumn(target, registry.column(model_id, blank_to_null(F.col(source))))
     return out
 
 
-def _embed_list(df: DataFrame, registry: ModelRegistry, model_id: str, source: str, target: str) -> DataFrame:
-    texts = df.select(F.explode(source).alias("_t")).filter(F.length(F.trim("_t")) > 0).distinct()
-    vectors = texts.select("_t", registry.column(model_id, F.col("_t")).alias("_v"))
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    flat = rows.select("_row", F.posexplode(source).alias("_i", "_t")).join(vectors, "_t", "left")
-    lists = flat.groupBy("_row").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: F.struct(x["_v"].alias("knn"))).alias(target))
-    return rows.join(lists, "_row", "left").drop("_row")
-
-
 def image_embedding(df: DataFrame, registry: ModelRegistry, model_id: str, target: str, text: str | None = None, image: str | None = None) -> DataFrame:
     """One vector from a text, an image (base64 text), or both."""
     inputs = [F.col(c) if c else F.lit(None).cast("string") for c in (text, image)]

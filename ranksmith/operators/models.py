@@ -76,6 +76,28 @@ class ModelRegistry:
         batches.__annotations__ = {"parts": Iterator[tuple[pd.Series, ...]], "return": Iterator[pd.Series]}
         return F.pandas_udf(batches, KINDS[model.kind])(*inputs)
 
+    def list_column(self, model_id: str, texts: Column, batch_size: int | None = None) -> Column:
+        """A model's results for each text of a list column, in order; null for blank ones, and for a null list."""
+        model = self.get(model_id)
+        function, load = model.function, model.load
+
+        def lists(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            run = function or load()
+            for part in parts:
+                rows = [[] if x is None else list(x) for x in part]
+                have = [(i, j) for i, row in enumerate(rows) for j, x in enumerate(row) if x is not None and x.strip()]
+                have.sort(key=lambda p: len(rows[p[0]][p[1]]))  # texts of a length together
+                out: list = [None if x is None else [None] * len(x) for x in part]
+                step = batch_size or max(1, len(have))
+                for lo in range(0, len(have), step):
+                    now = have[lo : lo + step]
+                    for (i, j), v in zip(now, run([rows[i][j] for i, j in now])):
+                        out[i][j] = v
+                yield pd.Series(out, dtype=object)
+
+        lists.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return F.pandas_udf(lists, f"array<{KINDS[model.kind]}>")(texts)
+
     def encode_query(self, model_id: str, *inputs):
         """A model's result for one query, on the driver."""
         model = self.get(model_id)

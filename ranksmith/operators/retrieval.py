@@ -31,7 +31,7 @@ def knn(corpus: DataFrame, query: Sequence[float] | Column, k: int | None = None
     At most one of ``k``, ``max_distance`` and ``min_score`` may be given; none means the ten nearest."""
     if sum(x is not None for x in (k, max_distance, min_score)) > 1:
         raise ValueError("only one of k, max_distance and min_score may be given")
-    rows = corpus if filter is None else corpus.filter(filter)
+    rows = (corpus if filter is None else corpus.filter(filter)).filter(F.col(vector).isNotNull())
     q = query if isinstance(query, Column) else vectors.literal(query)
     if max_distance is not None:
         rows = rows.filter(F.round(vectors.distance(F.col(vector), q, space), DIGITS) <= max_distance)

@@ -181,11 +181,12 @@ def search(index: SparseIndex, tokens: Mapping[int, float], k: int = 10, top_n:
     return top(found if filter is None else found.join(filter, "doc_id", "left_semi"), k)
 
 
-def explain(index: SparseIndex, tokens: Mapping[int, float], doc_ids: list, boost: float = 1.0) -> DataFrame:
-    """For each named document: the product, the rescaled score and the contribution of each shared token."""
+def explain(index: SparseIndex, tokens: Mapping[int, float], doc_ids: list | DataFrame, boost: float = 1.0) -> DataFrame:
+    """For each named document (ids, or a table with ``doc_id``): the product, the rescaled score and the contribution of each shared token."""
     p = index.parameters
     query = query_tokens(tokens, p)
-    hits = index.vectors.filter(F.col("doc_id").isin(*doc_ids) & F.col("token").isin(*query))
+    hits = index.vectors.filter(F.col("token").isin(*query))
+    hits = hits.join(doc_ids, "doc_id", "left_semi") if isinstance(doc_ids, DataFrame) else hits.filter(F.col("doc_id").isin(*doc_ids))
     each = F.struct("token", F.col("weight").cast("long").alias("document_weight"), _weights(F.col("token"), query).cast("long").alias("query_weight"))
     rows = hits.groupBy("doc_id").agg(F.array_sort(F.collect_list(each)).alias("tokens"))
     product = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s + t["document_weight"] * t["query_weight"])

@@ -268,8 +268,18 @@ class Engine:
         return shaping.rescore(found, more, spec["window"], 1.0, spec["weight"])
 
     # The whole request.
-    def _lists(self, query: Mapping, within: Column | None = None) -> list[DataFrame]:
-        """The scored lists of a hybrid query's sub-queries, or the only one of another query."""
+    def _lists(self, query: Mapping, after: Mapping | None = None) -> list[DataFrame]:
+        """The scored lists of a hybrid query's sub-queries, or the only one of another query. The post filter ``after`` narrows them
+        once nearest neighbours are found."""
+        within, kept = None, None
+        if after:
+            within = kept = self.condition(after)
+            if any(kind in ("knn", "neural", "neural_knn") or "method_parameters" in str(body) for kind, body in dsl.walk(query)):
+                within = None
+        lists = self._scored_lists(query, within)
+        return lists if kept is None or within is not None else [x.join(self.corpus.filter(kept).select("doc_id"), "doc_id", "left_semi") for x in lists]
+
+    def _scored_lists(self, query: Mapping, within: Column | None) -> list[DataFrame]:
         kind, body = dsl.clause(query)
         if kind == "bool" and any(dsl.clause(q)[0] == "hybrid" for q in dsl.as_list(body.get("must"))):
             # A wrapped hybrid is a plain sum of its sub-queries' scores.
@@ -286,7 +296,7 @@ class Engine:
         are cut, and does not touch aggregations."""
         query = request.get("query", {"match_all": {}})
         kind, body = dsl.clause(query)
-        lists = self._lists(query, self.condition(request["post_filter"]) if request.get("post_filter") else None)
+        lists = self._lists(query, request.get("post_filter"))
         if kind != "hybrid":
             return self._second_phase(lists[0], request["_second_phase"]) if request.get("_second_phase") else lists[0]
         depth, how = body.get("pagination_depth") or request.get("size", 10), fusion_settings(pipeline)
@@ -301,7 +311,7 @@ class Engine:
         fields = [c for c, _ in sort] + ([request["collapse"]["field"]] if request.get("collapse") else [])
         rows = self.corpus.select("doc_id", *dict.fromkeys(c for c in fields if c not in ("doc_id", "score")))
         each = []
-        for i, found in enumerate(self._lists(query, self.condition(request["post_filter"]) if request.get("post_filter") else None)):
+        for i, found in enumerate(self._lists(query, request.get("post_filter"))):
             found = found.filter("score > 0") if kind == "hybrid" else found
             each.append(found.select("doc_id", F.lit(i).alias("sub_query")).join(rows, "doc_id"))
         found = _union(each)
