@@ -49,7 +49,11 @@ _TOKENS = """spans as (select doc_id, text, regexp_extract_all(text, '\\S+[ \\t\
 pieces as (select doc_id, case when len(p) > 0 then list_concat([head || p[1]], p[2:]) else [text] end as p, text from spans),
 chunks as (select doc_id, case when length(text) > 0 then list_transform(range(0, 1 + greatest(0, ceil((len(p) - 100)::double / 80))::bigint), lambda i: array_to_string(p[i * 80 + 1 : i * 80 + 100], '')) else [] end as c from pieces)"""
 R.add("chunk_fixed_token", _chunks(lambda c: text.chunk_fixed_token(c, 100, 0.2, "whitespace")), f"with {_TOKENS} {_EXPLODE}")
-R.add("chunk_fixed_token_standard", _chunks(lambda c: text.chunk_fixed_token(c, 120, 0.0, "standard")))
+_W = "\\p{L}\\p{N}\\p{M}_"
+_STANDARD = _TOKENS.replace("\\S+[ \\t\\n\\x0B\\f\\r]*", f"[{_W}]+(?:[''’.][{_W}]+)*[^{_W}]*").replace("^[ \\t\\n\\x0B\\f\\r]*", f"^[^{_W}]*")
+for _old, _new in (("- 100)", "- 120)"), ("/ 80", "/ 120"), ("i * 80", "i * 120"), ("+ 100]", "+ 120]")):
+    _STANDARD = _STANDARD.replace(_old, _new)
+R.add("chunk_fixed_token_standard", _chunks(lambda c: text.chunk_fixed_token(c, 120, 0.0, "standard")), f"with {_STANDARD} {_EXPLODE}")
 R.add(
     "chunk_list",
     lambda t: t.conversations.groupBy(F.col("conv_id").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("texts")).select("doc_id", F.posexplode(text.chunk_list(F.col("texts"), lambda x: text.chunk_delimiter(x, "."))).alias("place", "chunk")),
@@ -69,11 +73,27 @@ R.add(
 def registry() -> models.ModelRegistry:
     out = models.ModelRegistry()
     out.register("hash", models.Model("hash", "dense", load=lambda: models.hashing_encoder(32), dimension=32))
+    out.register("count", models.Model("count", "dense", function=_counts, dimension=2))
     return out
 
 
-R.add("text_embedding", lambda t: ingest.text_embedding(t.benchmark, registry(), "hash", {"text": "vector"}))
-R.add("text_image_embedding", lambda t: ingest.image_embedding(t.pages.select("page_id", "url", "html"), registry(), "hash", "vector", "url", "html").select("page_id", "vector"))
+def _counts(texts: list) -> list:
+    """Characters, and those but the letter e, of a text or of all parts of one: a stand-in for an embedding, so that SQL can follow."""
+    whole = ["".join(p for p in t if p is not None) if isinstance(t, tuple) else t for t in texts]
+    return [[float(len(t)), float(len(t) - t.count("e"))] for t in whole]
+
+
+R.add(
+    "text_embedding",
+    lambda t: ingest.text_embedding(t.benchmark, registry(), "count", {"text": "vector"}),
+    "select *, case when length(trim(text, ' ')) > 0 then [length(text)::float, length(replace(text, 'e', ''))::float] end as vector from benchmark",
+)
+R.add(
+    "text_image_embedding",
+    lambda t: ingest.image_embedding(t.pages.select("page_id", "url", F.hex(F.col("html").cast("binary")).alias("image")), registry(), "count", "vector", "url", "image").select("page_id", "vector"),
+    """with p as (select page_id, concat(url, hex(encode(html))) as x from pages)
+select page_id, [length(x)::float, length(replace(x, 'e', ''))::float] as vector from p""",
+)
 
 
 def _encode(c):
@@ -123,15 +143,15 @@ select doc_id, max(round(case when b > 0 then 0.5 * (1 + ln(b)) else 0.0 end + c
 
 
 def _reuse(t: Tables) -> DataFrame:
-    old = t.documents.filter("doc_id % 3 <> 0").select("doc_id", F.when(F.col("doc_id") % 5 == 0, F.lit("changed")).otherwise(F.col("text")).alias("text")).withColumn("embedding", F.array(F.lit(-1.0), F.lit(-1.0)))
+    old = t.documents.filter("lang <> 'de'").select("doc_id", F.when(F.col("n_chars") > 1500, F.lit("changed")).otherwise(F.col("text")).alias("text")).withColumn("embedding", F.array(F.lit(-1.0), F.lit(-1.0)))
     return ingest.reuse_embeddings(t.documents.select("doc_id", "text"), old, "text", "embedding", _encode).select("doc_id", "embedding", "reused")
 
 
 R.add(
     "skip_existing",
     _reuse,
-    """select doc_id, doc_id % 3 <> 0 and doc_id % 5 <> 0 as reused,
-case when doc_id % 3 <> 0 and doc_id % 5 <> 0 then [-1.0::double, -1.0] else [length(text)::double, length(replace(text, 'e', ''))::double] end as embedding from documents""",
+    """select doc_id, lang <> 'de' and n_chars <= 1500 as reused,
+case when lang <> 'de' and n_chars <= 1500 then [-1.0::double, -1.0] else [length(text)::double, length(replace(text, 'e', ''))::double] end as embedding from documents""",
 )
 
 # Reranking, highlighting, diversification.
@@ -146,16 +166,51 @@ R.add(
     f"""{ranking.fused_sql()}, w as (select doc_id, regexp_extract_all(lower(text || ' ' || lang), '[a-z0-9]+') as w from fused join documents using (doc_id))
 select doc_id, round((list_contains(w, 'pathetic')::int + list_contains(w, 'idiot')::int + list_contains(w, 'of')::int + list_contains(w, 'en')::int) / 4.0::double, 6) as score from w""",
 )
-R.add("mmr_rerank", lambda t: post.mmr(ranking.fused(t).join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").withColumn("query_id", F.lit(0)), 20))
+R.add(
+    "mmr_rerank",
+    lambda t: post.mmr(ranking.fused(t).join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id").withColumn("query_id", F.lit(0)), 20),
+    ranking.fused_sql().replace("with ", "with recursive ", 1)
+    + """, cand as (select doc_id, score, embedding::double[] as e from fused join embeddings on vec_id = doc_id),
+near as (select a.doc_id as a, b.doc_id as b, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) as sim from cand a, cand b),
+step(n, taken) as (
+  select 1, [arg_max(doc_id, {'s': score, 'd': -doc_id})] from cand
+  union all
+  select any_value(n) + 1, list_append(any_value(taken), arg_max(doc_id, {'v': round(v, 9), 's': score, 'd': -doc_id}))
+  from (select n, taken, doc_id, score, 0.5 * score - 0.5 * max(sim) as v from step join cand on not list_contains(taken, doc_id) join near on a = doc_id and list_contains(taken, b) where n < 20 group by n, taken, doc_id, score)
+  having count(*) > 0
+),
+places as (select unnest(taken) as doc_id, unnest(range(1, len(taken) + 1)) as place from (select taken from step order by n desc limit 1))
+select 0 as query_id, doc_id, score, place::int as place from places join fused using (doc_id)""",
+)
 _WORDS = ("idiot", "pathetic", "the")
+_ESCAPED = """replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')"""
 
 
-def _highlighted(t: Tables, **more) -> DataFrame:
-    return t.documents.select("doc_id", post.highlight(F.col("text"), post.term_spans(F.col("text"), _WORDS), **more).alias("highlight"))
+def _highlight_sql(table: str, key: str, column: str, words: tuple[str, ...], head: int, escape: bool = False) -> str:
+    """Words and what stands between them, each word of the list in tags."""
+    clean = _ESCAPED.format if escape else (lambda x: x)
+    some = ", ".join(f"'{w}'" for w in words)
+    return f"""with p as (select {key}, {column} as x, regexp_extract_all({column}, '[A-Za-z0-9]+|[^A-Za-z0-9]+') as p from {table})
+select {key}, case when len(list_filter(p, lambda y: lower(y) in ({some}))) > 0
+  then array_to_string(list_transform(p, lambda y: case when lower(y) in ({some}) then '<em>' || {clean('y')} || '</em>' else {clean('y')} end), '')
+  else {clean(f'substr(x, 1, {head})')} end as highlight from p"""
 
 
-R.add("highlight_tags", lambda t: _highlighted(t, no_match_size=30))
-R.add("highlight_html", lambda t: t.pages.select("page_id", post.highlight(F.col("html"), post.term_spans(F.col("html"), ("meta", "charset")), encoder="html", no_match_size=20).alias("highlight")))
+R.add(
+    "highlight_tags",
+    lambda t: t.documents.select("doc_id", post.highlight_terms(F.col("text"), _WORDS, no_match_size=30).alias("highlight")),
+    _highlight_sql("documents", "doc_id", "text", _WORDS, 30),
+)
+R.add(
+    "highlight_spans",
+    lambda t: t.documents.select("doc_id", post.highlight(F.col("text"), post.term_spans(F.col("text"), ("pathetic",)), no_match_size=30).alias("highlight")),
+    _highlight_sql("documents", "doc_id", "text", ("pathetic",), 30),
+)
+R.add(
+    "highlight_html",
+    lambda t: t.pages.select("page_id", post.highlight_terms(F.col("html"), ("meta", "charset"), encoder="html", no_match_size=20).alias("highlight")),
+    _highlight_sql("pages", "page_id", "html", ("meta", "charset"), 20, True),
+)
 R.add(
     "highlight_no_match",
     lambda t: t.documents.select("doc_id", post.highlight(F.col("text"), post.term_spans(F.col("text"), ("zzzz",)), no_match_size=40).alias("highlight")),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranksmith.operators import fusion, retrieval, shaping
+from ranksmith.plans.engine import Engine
 from ranksmith.queries.registry import Registry, Tables
 
 TERMS = ("the", "of", "pathetic")
@@ -83,16 +84,25 @@ def fused(t: Tables, **more) -> DataFrame:
     return fusion.fuse(lists(t), DEPTH, **more)
 
 
+def search(t: Tables, pipeline: dict | None = None, depth: int = DEPTH, filter: dict | None = None, **request) -> DataFrame:
+    """The two sub-queries as one request to the engine, over documents with the vectors that some of them have."""
+    corpus = t.documents.join(t.embeddings.select(F.col("vec_id").alias("doc_id"), "label", "embedding"), "doc_id", "left")
+    near = {"knn": {"embedding": {"vector": t.query_vector(), "k": DEPTH}}}
+    hybrid = {"queries": [near, {"match": {"text": " ".join(TERMS)}}], "pagination_depth": depth, **({"filter": filter} if filter else {})}
+    return Engine(corpus, space="cosinesimil").search({"query": {"hybrid": hybrid}, **request}, pipeline)
+
+
 def with_fields(t: Tables, rows: DataFrame) -> DataFrame:
     return rows.join(t.documents.select("doc_id", "lang", "source", "n_chars"), "doc_id")
 
 
 # Retrieval into one list for each sub-query.
 R.add("hybrid_topk", lambda t: fusion.rank_lists(lists(t), DEPTH), f"{ranked_sql()} select sub_query, doc_id, score, place::int as place from ranked")
+_EN = "doc_id in (select doc_id from documents where lang = 'en')"
 R.add(
     "hybrid_filter",
-    lambda t: fusion.rank_lists(lists(t, F.col("vec_id") % 2 == 0, F.col("doc_id") % 2 == 0), DEPTH),
-    f"{ranked_sql(lex_where='doc_id % 2 = 0', sim_where='vec_id % 2 = 0')} select sub_query, doc_id, score, place::int as place from ranked",
+    lambda t: search(t, filter={"term": {"lang": "en"}}, size=100, _source=["lang"]),
+    f"{fused_sql(lex_where=_EN, sim_where=_EN.replace('doc_id in', 'vec_id in'))} select doc_id, score, lang from fused join documents using (doc_id) order by score desc, doc_id limit 100",
 )
 R.add(
     "hybrid_dls",
@@ -147,39 +157,38 @@ R.add("hybrid_sort_score", lambda t: shaping.page(fused(t), 20), f"{fused_sql()}
 _FIELDS = "lex_and_sim as (select sub_query, doc_id, source, n_chars from both_lists join documents using (doc_id) where score > 0)"
 
 
-def _sorted(t: Tables, sort) -> DataFrame:
-    rows = None
-    for i, part in enumerate(lists(t)):
-        part = part.filter("score > 0").select(F.lit(i).alias("sub_query"), "doc_id")
-        rows = part if rows is None else rows.unionByName(part)
-    rows = rows.join(t.documents.select("doc_id", "source", "n_chars"), "doc_id")
-    return shaping.page(shaping.sort_lists(rows, sort, 30), 30, sort=sort)
+def _sorted_sql(order: str, after: str = "true", limit: int = 30) -> str:
+    return f"""{ranked_sql()}, {_FIELDS},
+s as (select *, row_number() over (partition by sub_query order by {order}, doc_id) as p from lex_and_sim where {after} qualify p <= 30)
+select distinct doc_id, null::double as score, source, n_chars from s order by {order}, doc_id limit {limit}"""
 
 
-R.add(
-    "hybrid_sort_field",
-    lambda t: _sorted(t, [("n_chars", True)]),
-    f"{ranked_sql()}, {_FIELDS}, s as (select *, row_number() over (partition by sub_query order by n_chars desc nulls last, doc_id) as p from lex_and_sim qualify p <= 30) select distinct doc_id, source, n_chars from s order by n_chars desc nulls last, doc_id limit 30",
-)
+R.add("hybrid_sort_field", lambda t: search(t, depth=30, size=30, sort=[{"n_chars": "desc"}], _source=["source", "n_chars"]), _sorted_sql("n_chars desc nulls last"))
 R.add(
     "hybrid_sort_multi",
-    lambda t: _sorted(t, [("source", False), ("n_chars", True)]),
-    f"{ranked_sql()}, {_FIELDS}, s as (select *, row_number() over (partition by sub_query order by source nulls last, n_chars desc nulls last, doc_id) as p from lex_and_sim qualify p <= 30) select distinct doc_id, source, n_chars from s order by source nulls last, n_chars desc nulls last, doc_id limit 30",
+    lambda t: search(t, depth=30, size=30, sort=["source", {"n_chars": {"order": "desc"}}], _source=["source", "n_chars"]),
+    _sorted_sql("source nulls last, n_chars desc nulls last"),
 )
 R.add(
     "hybrid_search_after",
+    lambda t: search(t, depth=30, sort=[{"n_chars": "desc"}], search_after=[1000], _source=["source", "n_chars"]),
+    _sorted_sql("n_chars desc nulls last", "(n_chars < 1000 or n_chars is null)", 10),
+)
+R.add(
+    "hybrid_search_after_score",
     lambda t: shaping.page(shaping.search_after(fused(t), shaping.BY_SCORE, [0.5], 10), 10),
     f"{fused_sql()} select * from fused where score < 0.5 or (score = 0.5 and doc_id > 10) order by score desc, doc_id limit 10",
 )
 R.add(
     "hybrid_collapse",
-    lambda t: shaping.collapse(with_fields(t, fused(t)), "source").select("doc_id", "source", "score"),
+    lambda t: search(t, size=DEPTH, collapse={"field": "source"}, _source=["source"]),
     f"{fused_sql()} select doc_id, source, score from fused join documents using (doc_id) qualify row_number() over (partition by source order by score desc, doc_id) = 1",
 )
 R.add(
     "hybrid_post_filter",
-    lambda t: with_fields(t, fused(t)).filter("lang = 'en'").select("doc_id", "lang", "score"),
-    f"{fused_sql()} select doc_id, lang, score from fused join documents using (doc_id) where lang = 'en'",
+    lambda t: search(t, size=100, post_filter={"term": {"lang": "en"}}, _source=["lang"]),
+    fused_sql(lex_where=_EN).replace("sim as (", "near as (").replace("both_lists as (", f"sim as (select * from near where {_EN}), both_lists as (")
+    + " select doc_id, lang, score from fused join documents using (doc_id) order by score desc, doc_id limit 100",
 )
 R.add(
     "rescore_window",
@@ -226,11 +235,11 @@ R.add(
     lambda t: retrieval.boolean(
         must=[retrieval.constant(t.orders, F.col("o_orderstatus") == "F", 1.0, "o_orderkey")],
         should=[retrieval.constant(t.orders, F.col("o_totalprice") >= 200000, 2.0, "o_orderkey"), retrieval.constant(t.orders, F.col("o_orderpriority") == "1-URGENT", 0.5, "o_orderkey")],
-        must_not=[retrieval.constant(t.orders, F.col("o_custkey") % 7 == 0, 1.0, "o_orderkey")],
+        must_not=[retrieval.constant(t.orders, F.col("o_orderpriority") == "5-LOW", 1.0, "o_orderkey")],
         filter=[retrieval.constant(t.orders, F.col("o_totalprice") > 1000, 1.0, "o_orderkey")],
     ),
     """select o_orderkey as doc_id, (1.0 + case when o_totalprice >= 200000 then 2.0 else 0 end + case when o_orderpriority = '1-URGENT' then 0.5 else 0 end)::double as score
-from orders where o_orderstatus = 'F' and not coalesce(o_custkey % 7 = 0, false) and o_totalprice > 1000""",
+from orders where o_orderstatus = 'F' and not coalesce(o_orderpriority = '5-LOW', false) and o_totalprice > 1000""",
 )
 
 QUERIES, ORACLE_SQL = R.queries, R.sql

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranksmith.functions import sparse, text, vectors
-from ranksmith.operators import retrieval, sparse_index, two_phase
+from ranksmith.operators import retrieval, sparse_index
+from ranksmith.plans.engine import Engine
 from ranksmith.queries.registry import Registry, Tables
 
 R = Registry()
@@ -47,6 +48,11 @@ def encoded(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", sparse.term_frequencies(text.tokens(F.col("text"))).alias("tokens"))
 
 
+def asked(t: Tables, terms) -> DataFrame:
+    """The same, with the tokens of a query only: what the query does not ask for is not encoded."""
+    return t.documents.select("doc_id", sparse.term_frequencies(text.tokens_among(F.col("text"), terms)).alias("tokens"))
+
+
 def entries(t: Tables) -> DataFrame:
     """The same as ``doc_id, token, weight``."""
     words = t.documents.select("doc_id", F.explode(text.tokens(F.col("text"))).alias("token"))
@@ -63,19 +69,25 @@ ent as (select doc_id, token, 1 + ln(count(*)::double) as weight from words grou
 _QUERY = "qt as (select * from (values " + ", ".join(f"('{k}', {v}::double)" for k, v in QUERY.items()) + ") v(token, qw))"
 
 R.add("sparse_encode_tf", lambda t: encoded(t).select("doc_id", F.explode("tokens").alias("token", "weight")).withColumn("weight", F.round("weight", 6)), f"with {_ENTRIES} select doc_id, token, round(weight, 6) as weight from ent")
-R.add("sparse_dot", lambda t: retrieval.sparse_match(encoded(t), QUERY), f"with {_ENTRIES}, {_QUERY} select doc_id, round(sum(weight * qw), 6) as score from ent join qt using (token) group by doc_id")
+R.add("sparse_dot", lambda t: retrieval.sparse_match(asked(t, QUERY), QUERY), f"with {_ENTRIES}, {_QUERY} select doc_id, round(sum(weight * qw), 6) as score from ent join qt using (token) group by doc_id")
+_ANALYZED = retrieval.analyzed_query("The PATHETIC, the idiot of", {"of": 0.5})
 R.add(
     "sparse_analyzer",
-    lambda t: retrieval.sparse_match(encoded(t), retrieval.analyzed_query("The PATHETIC, the idiot of", {"of": 0.5})),
+    lambda t: retrieval.sparse_match(asked(t, _ANALYZED), _ANALYZED),
     f"with {_ENTRIES}, qt(token, qw) as (values ('the', 1.0::double), ('pathetic', 1.0), ('idiot', 1.0), ('of', 0.5)) select doc_id, round(sum(weight * qw), 6) as score from ent join qt using (token) group by doc_id",
 )
+def _two_phase(t: Tables) -> DataFrame:
+    request = {"query": {"neural_sparse": {"tokens": {"query_tokens": QUERY, "boost": 1.5}}}, "size": 20, "_source": []}
+    return Engine(asked(t, QUERY)).search(request, {"request_processors": [{"neural_sparse_two_phase_processor": {}}]})
+
+
 R.add(
     "sparse_two_phase",
-    lambda t: two_phase.two_phase(encoded(t), QUERY, size=20),
+    _two_phase,
     f"""with {_ENTRIES}, {_QUERY},
-one as (select doc_id, round(sum(weight * qw), 6) as score from ent join qt using (token) where qw >= 0.4 * 2.0 group by doc_id order by score desc, doc_id limit 100),
-low as (select doc_id, sum(weight * qw) as extra from ent join qt using (token) where qw < 0.4 * 2.0 group by doc_id)
-select doc_id, round(score + coalesce(extra, 0), 6) as score from one left join low using (doc_id)""",
+one as (select doc_id, round(sum(weight * qw) * 1.5, 6) as score from ent join qt using (token) where qw >= 0.4 * 2.0 group by doc_id order by score desc, doc_id limit 100),
+low as (select doc_id, round(sum(weight * qw) * 1.5, 6) as extra from ent join qt using (token) where qw < 0.4 * 2.0 group by doc_id)
+select doc_id, round(score + coalesce(extra, 0), 6) as score from one left join low using (doc_id) order by score desc, doc_id limit 20""",
 )
 
 
@@ -168,16 +180,40 @@ R.add(
 R.add("sparse_ann_filtered", lambda t: sparse_index.search(_index(t), _PART_QUERY, k=10, top_n=20, filter=t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"))))
 R.add(
     "sparse_ann_filtered_exact",
-    lambda t: sparse_index.search(_index(t), _PART_QUERY, k=50, filter=t.orders.filter("o_orderkey < 40").select(F.col("o_orderkey").alias("doc_id"))),
-    f"{_DOT} select doc_id, product, round(product * (1.0::double * 3.0 * 16.0 / 255 / 255), 6) as score from prod where product > 0 and doc_id < 40",
+    lambda t: sparse_index.search(_index(t), _PART_QUERY, k=50, filter=t.orders.filter("o_custkey = 7").select(F.col("o_orderkey").alias("doc_id"))),
+    f"{_DOT} select doc_id, product, round(product * (1.0::double * 3.0 * 16.0 / 255 / 255), 6) as score from prod where product > 0 and doc_id in (select o_orderkey from orders where o_custkey = 7) order by score desc, doc_id limit 50",
 )
+
+
+def _explained(t: Tables) -> DataFrame:
+    index = _index(t)
+    return sparse_index.explain(index, _PART_QUERY, sparse_index.search(index, _PART_QUERY, k=10, documents=1000).select("doc_id"))
+
+
 R.add(
     "sparse_explain",
-    lambda t: sparse_index.explain(_index(t), _PART_QUERY, list(range(100))),
-    f"""with {_FOLDED}, qt(token, qw) as (values {_PART_Q})
+    _explained,
+    f"""{_DOT}, best as (select doc_id from prod where product > 0 order by round(product * (1.0::double * 3.0 * 16.0 / 255 / 255), 6) desc, doc_id limit 10)
 select doc_id, sum(weight::bigint * qw)::bigint as product, round(sum(weight::bigint * qw)::bigint * (1.0::double * 3.0 * 16.0 / 255 / 255), 6) as score,
   string_agg(token || ': ' || qw || ' x ' || weight, ', ' order by token) as explanation
-from quant join qt using (token) where doc_id < 100 group by doc_id""",
+from quant join qt using (token) join best using (doc_id) group by doc_id""",
+)
+R.add(
+    "sparse_merge",
+    lambda t: sparse_index.search(sparse_index.merge([sparse_index.build(_part_vectors(t).join(t.orders.filter(F.col("o_orderstatus") == x), F.col("doc_id") == F.col("o_orderkey"), "left_semi"), _PARAMETERS) for x in "FOP"]), _PART_QUERY, k=10, documents=1000),
+    f"{_DOT} select doc_id, product, round(product * (1.0::double * 3.0 * 16.0 / 255 / 255), 6) as score from prod where product > 0 and doc_id in (select o_orderkey from orders) order by score desc, doc_id limit 10",
+)
+
+
+def _by_customer(t: Tables) -> DataFrame:
+    return t.orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_custkey").alias("parent"))
+
+
+R.add(
+    "sparse_nested",
+    lambda t: sparse_index.search_nested(_index(t), _by_customer(t), _PART_QUERY, k=10, children=200, documents=1000),
+    f"""{_DOT}, best as (select doc_id, round(product * (1.0::double * 3.0 * 16.0 / 255 / 255), 6) as score from prod where product > 0 order by score desc, doc_id limit 200)
+select o_custkey as doc_id, max(score) as score from best join orders on o_orderkey = best.doc_id group by 1 order by score desc, doc_id limit 10""",
 )
 
 QUERIES, ORACLE_SQL = R.queries, R.sql
