@@ -280,3 +280,94 @@ def test_trailing_stream(spark, tmp_path):
     query.stop()
     got = {(r.minute.minute, r.n) for r in spark.sql("select * from trailing where name = 'a'").collect()}
     assert (2, 2) in got and (5, 2) in got and (12, 1) in got
+
+
+@pytest.fixture(scope="module")
+def forty(spark):
+    """The better a document scores, the lower its price."""
+    rows = [(i, " ".join(["word"] * (40 - i) + ["pad"] * i), i, "even" if i % 2 else "odd", [("word " * (i % 3), i), ("pad", -i)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, body string, price int, kind string, parts array<struct<t:string, n:int>>")
+    return Engine(df.withColumn("tokens", sparse.term_frequencies(text.tokens(F.col("body")))).cache())
+
+
+def test_candidates_are_cut_in_the_order_of_the_sort(forty):
+    q = hybrid(words("word"))
+    assert ids(forty.search({"query": q, "size": 3})) == [0, 1, 2]
+    assert ids(forty.search({"query": q, "size": 3, "sort": [{"price": "desc"}]})) == [39, 38, 37]
+    assert ids(forty.search({"query": q, "size": 3, "sort": [{"price": "asc"}], "search_after": [20]})) == [21, 22, 23]
+    assert ids(forty.search({"query": q, "size": 3, "sort": ["kind", {"price": "desc"}], "search_after": ["even", 3]})) == [1, 38, 36]
+    assert {r.score for r in forty.search({"query": q, "size": 3, "sort": ["price"]}).collect()} == {None}
+    assert ids(forty.search({"query": q, "size": 3, "post_filter": {"term": {"kind": "even"}}})) == [1, 3, 5]
+    assert ids(forty.search({"query": q, "size": 3, "sort": [{"price": "desc"}], "post_filter": {"term": {"kind": "odd"}}})) == [38, 36, 34]
+    assert ids(forty.search({"query": q, "size": 3, "sort": [{"price": "desc"}], "collapse": {"field": "kind"}})) == [39, 38]
+    assert forty.matched({"query": q, "post_filter": {"term": {"kind": "odd"}}}).count() == 40
+
+
+def test_filters_leave_word_statistics_alone(forty):
+    alone = {r.doc_id: r.score for r in forty.search({"query": words("pad"), "size": 50}).collect()}
+    for query in (both(must=[words("pad")], filter=[{"term": {"kind": "even"}}]), {"bool": {"must": [{"bool": {"should": [words("pad")], "filter": [{"range": {"price": {"lt": 7}}}]}}]}}):
+        found = {r.doc_id: r.score for r in forty.search({"query": query, "size": 50}).collect()}
+        assert found and all(s == pytest.approx(alone.get(i, 0.0)) for i, s in found.items())
+
+
+def test_two_phases_with_boosts(forty):
+    tokens = {"word": 2.0, "pad": 0.5}
+    two = {"request_processors": [{"neural_sparse_two_phase_processor": {}}]}
+    plain = {r.doc_id: r.score for r in forty.search({"query": {"neural_sparse": {"tokens": {"query_tokens": tokens}}}, "size": 40}).collect()}
+    boosted = forty.search({"query": {"neural_sparse": {"tokens": {"query_tokens": tokens, "boost": 3.0}}}, "size": 10}, two).collect()
+    assert len(boosted) == 10 and all(r.score == pytest.approx(3 * plain[r.doc_id], abs=1e-4) for r in boosted)
+    inside = {"bool": {"should": [{"neural_sparse": {"tokens": {"query_tokens": tokens}}}, {"term": {"kind": {"value": "even", "boost": 0.25}}}]}}
+    small = {"request_processors": [{"neural_sparse_two_phase_processor": {"two_phase_parameter": {"expansion_rate": 1.0, "max_window_size": 50}}}]}
+    got = {r.doc_id: r.score for r in forty.search({"query": inside, "size": 40}, small).collect()}
+    assert len(got) == 40 and all(s == pytest.approx(plain[i] + (0.25 if i % 2 else 0), abs=1e-4) for i, s in got.items())
+    five = forty.hits(forty.prepared({"query": inside, "size": 5}, small)).collect()
+    assert len(five) == 40  # what lies outside of the window keeps its first score
+    assert sum(r.score == pytest.approx(plain[r.doc_id] + (0.25 if r.doc_id % 2 else 0), abs=1e-4) and r.doc_id > 0 for r in five) <= 6
+
+
+def test_small_sparse_indexes_are_searched_exactly(spark):
+    rows = [(d, 7, 1.0 + d / 50) for d in range(40)]
+    vectors = spark.createDataFrame(rows, "doc_id long, token long, weight double")
+    index = sparse_index.build(vectors, sparse_index.IndexParameters(n_postings=3))
+    corpus = vectors.select("doc_id").withColumn("tokens", F.create_map(F.lit("7"), F.lit(1.0))).withColumn("even", F.col("doc_id") % 2 == 0)
+    query = {"neural_sparse": {"tokens": {"query_tokens": {"7": 1.0}, "method_parameters": {"k": 20}}}}
+    found = Engine(corpus, indices={"tokens": index}).search({"query": query, "size": 20})
+    assert ids(found) == list(range(39, 19, -1))  # postings hold three documents
+    approximate = sparse_index.build(vectors, sparse_index.IndexParameters(n_postings=3, approximate_threshold=10))
+    assert len(ids(Engine(corpus, indices={"tokens": approximate}).search({"query": query, "size": 20}))) == 3
+    filtered = Engine(corpus, indices={"tokens": index}).search({"query": both(must=[query], filter=[{"term": {"even": True}}]), "size": 3})
+    assert ids(filtered) == [38, 36, 34]
+
+
+def test_inner_hits_and_highlight_targets(forty):
+    nested = {"nested": {"path": "parts", "query": words("word", "parts.t"), "inner_hits": {"name": "best", "size": 1, "highlight": {"fields": {"parts.t": {"type": "semantic"}}}}}}
+    rows = forty.search({"query": nested, "size": 4}).collect()
+    best = {r.doc_id: r.inner_hits_best for r in rows}
+    assert len(best) == 4 and all(len(x) == 1 and x[0].child == 0 and x[0].n == i and x[0].t_highlight.startswith("<em>word</em>") for i, x in best.items())
+    highlight = {"options": {"no_match_size": 2}, "pre_tags": ["["], "post_tags": ["]"], "fields": {"body": {"type": "semantic"}, "kind": {"type": "plain"}}}
+    one = forty.search({"query": hybrid(words("pad")), "size": 1, "sort": [{"price": "asc"}], "highlight": highlight}).first()
+    assert one.body_highlight.startswith("word word") and one.body_highlight.endswith("[pad]") and "kind_highlight" not in one
+    other = forty.search({"query": hybrid(words("word")), "size": 1, "highlight": {**highlight, "highlight_query": words("nothing")}}).first()
+    assert other.body_highlight == "wo"
+    forty.models.register("spans", models.Model("spans", "spans", function=lambda pairs: [[(0, 4)] if c.startswith("word") else [] for _, c in pairs]))
+    by_model = {"fields": {"body": {"type": "semantic", "options": {"model_id": "spans", "batch_inference": True, "max_inference_batch_size": 2}}}}
+    assert all(r.body_highlight.startswith("<em>word</em>") for r in forty.search({"query": hybrid(words("word")), "size": 3, "highlight": by_model}).collect())
+
+
+def test_response_processors_for_explanations_and_agents(engine):
+    explained = {"response_processors": [{"hybrid_score_explanation": {}}]}
+    assert "explanation" not in engine.search({"query": TWO, "explain": True}).columns
+    assert all("combination of:" in r.explanation for r in engine.search({"query": TWO, "explain": True}, explained).collect())
+    agent = Engine(engine.corpus, agent=lambda q, b: {"query": words(q), "size": 2, "agent_steps": "looked it up", "memory_id": "m1"})
+    pipeline = {"request_processors": [{"agentic_query_translator": {}}], "response_processors": [{"agentic_context": {"agent_steps_summary": True, "dsl_query": True}}]}
+    row = agent.search({"query": {"agentic": {"query_text": "hello"}}}, pipeline).first()
+    assert (row.ext_agent_steps, row.ext_memory_id, row.ext_dsl_query) == ("looked it up", "m1", '{"match": {"body": "hello"}}')
+    assert "ext_dsl_query" not in agent.search({"query": {"agentic": {"query_text": "hello"}}}, {**pipeline, "response_processors": [{"agentic_context": {}}]}).columns
+
+
+def test_highlighting_terms_as_their_spans(spark):
+    texts = ["The cat & the dog, <the>", "none", "THE", None, "the$the \\1 the_x", "dog the"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for encoder in ("default", "html"):
+        both_ways = df.select(post.highlight_terms(F.col("t"), ("the", "dog"), "<$b>", "\\1", encoder, 3).alias("a"), post.highlight(F.col("t"), post.term_spans(F.col("t"), ("the", "dog")), "<$b>", "\\1", encoder, 3).alias("b"))
+        assert all(r.a == r.b for r in both_ways.collect())
