@@ -9,7 +9,7 @@ states (nothing yet, and the role of the last turn); dynamic programming over it
 A conversation of any length is repaired in pieces of ``CHUNK`` turn numbers: costs of a piece are a 4 x 4 matrix in the
 (min, +) semiring, these compose to groups of ``GROUP`` pieces and then along the conversation, and with its entry and exit
 states fixed each group, then each piece, is decoded on its own. So a conversation that holds a third of all rows is
-spread over tasks. A piece of more than ``MAX_PIECE`` rows (null or tied turn numbers) is dealt out by ranges of its order;
+spread over tasks. A piece of more than ``MAX_PIECE`` rows (null or tied turn numbers) or ``MAX_PIECE_CHARS`` is dealt out by ranges of its order;
 there repeated rows travel as one row with a count, cut into runs, so not even one row repeated everywhere is one task's.
 
 Order: turn number, null ones last; ties by role, then text (null first), so repeated rows are neighbours and usually
@@ -37,6 +37,7 @@ COSTS = {"merge": 2, "relabel": 3, "relabel_unknown": 1, "insert": 4}
 CHUNK = 512
 GROUP = 512
 MAX_PIECE = 1 << 16
+MAX_PIECE_CHARS = 1 << 25
 OPEN, CLOSE = "<|{}|>\n", "<|end|>\n"
 _LEGAL = {(0, 1), (0, 2), (1, 2), (2, 3), (3, 2)}
 _FAR = 1 << 40
@@ -138,7 +139,8 @@ def _same(conv: str, *keys: tuple[str, str]) -> Column:
 def _dealt(rows: DataFrame, run: int, max_piece: int) -> DataFrame:
     """``rows`` with ``_part`` and ``_copies``: pieces of more than ``max_piece`` rows in ranges, their repeated rows in runs."""
     spark, key = rows.sparkSession, ["conv_id", "_no_turn", "_group", "_chunk"]
-    large = rows.groupBy(*key).count().filter(F.col("count") > max_piece).select(*[F.col(k).alias(f"l{i}") for i, k in enumerate(key)])
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("chars"))
+    large = sizes.filter((F.col("rows") > max_piece) | (F.col("chars") > MAX_PIECE_CHARS)).select(*[F.col(k).alias(f"l{i}") for i, k in enumerate(key)])
     large, _ = materialize(large, "large")
     plain = rows.withColumns({"_part": F.lit(-1), "_copies": F.lit(1).cast("long")})
     if large.isEmpty():

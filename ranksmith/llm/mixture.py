@@ -78,7 +78,6 @@ def draw(key: Column, table: Column, parts: Column, seed: int) -> Column:
 
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", targets: Mapping | None = None, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
     """``docs`` with each row repeated by its draw: its columns, ``copy`` (from 0) and ``shuffle_key``, dealt out and sorted by the latter."""
-    spark = docs.sparkSession
     table = rates(docs, source, targets, temperature)
     size = table.count()
     parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(MAX_RATE))).cast("long")
@@ -93,4 +92,4 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     out = drawn.select("_id", "_doc", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("copy"))
     place = F.md5(F.concat_ws("|", F.lit(f"{seed}-place"), F.coalesce(F.col("_id").cast("string"), F.lit("")), "copy"))
     out = out.select(*[F.col(f"_doc.`{c}`").alias(c) for c in names], "copy", place.alias("shuffle_key"))
-    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shuffle_key").sortWithinPartitions("shuffle_key", "copy")
+    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "copy")

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +27,7 @@ def shared_folder(spark: SparkSession) -> str:
     set_here = spark.sparkContext._jsc.sc().getCheckpointDir()
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or (set_here.get() if set_here.isDefined() else None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='ranksmith-')}"
         spark.sparkContext.setCheckpointDir(folder)
@@ -41,6 +44,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, f"{BATCH_BYTES}b")
 
 
+_lock, _writing = threading.Lock(), {"now": 0, "before": "false"}
+
+
+@contextmanager
+def _shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with the query that wrote them, as long as any thread is in here."""
+    with _lock:
+        if not _writing["now"]:
+            _writing["before"] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _writing["now"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing["now"] -= 1
+            if not _writing["now"]:
+                spark.conf.set(CLEANUP, _writing["before"])
+
+
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as a Parquet table in the shared folder; returns it reread, and its path.
 
@@ -49,12 +72,8 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _shuffle_files_go(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
