@@ -99,6 +99,8 @@ def with_fields(t: Tables, rows: DataFrame) -> DataFrame:
 # Retrieval into one list for each sub-query.
 R.add("hybrid_topk", lambda t: fusion.rank_lists(lists(t), DEPTH), f"{ranked_sql()} select sub_query, doc_id, score, place::int as place from ranked")
 _EN = "doc_id in (select doc_id from documents where lang = 'en')"
+#: The engine knows vectors of documents only.
+_KNOWN = "vec_id in (select doc_id from documents)"
 R.add(
     "hybrid_filter",
     lambda t: search(t, filter={"term": {"lang": "en"}}, size=100, _source=["lang"]),
@@ -158,7 +160,7 @@ _FIELDS = "lex_and_sim as (select sub_query, doc_id, source, n_chars from both_l
 
 
 def _sorted_sql(order: str, after: str = "true", limit: int = 30) -> str:
-    return f"""{ranked_sql()}, {_FIELDS},
+    return f"""{ranked_sql(sim_where=_KNOWN)}, {_FIELDS},
 s as (select *, row_number() over (partition by sub_query order by {order}, doc_id) as p from lex_and_sim where {after} qualify p <= 30)
 select distinct doc_id, null::double as score, source, n_chars from s order by {order}, doc_id limit {limit}"""
 
@@ -182,12 +184,12 @@ R.add(
 R.add(
     "hybrid_collapse",
     lambda t: search(t, size=DEPTH, collapse={"field": "source"}, _source=["source"]),
-    f"{fused_sql()} select doc_id, source, score from fused join documents using (doc_id) qualify row_number() over (partition by source order by score desc, doc_id) = 1",
+    f"{fused_sql(sim_where=_KNOWN)} select doc_id, source, score from fused join documents using (doc_id) qualify row_number() over (partition by source order by score desc, doc_id) = 1",
 )
 R.add(
     "hybrid_post_filter",
     lambda t: search(t, size=100, post_filter={"term": {"lang": "en"}}, _source=["lang"]),
-    fused_sql(lex_where=_EN).replace("sim as (", "near as (").replace("both_lists as (", f"sim as (select * from near where {_EN}), both_lists as (")
+    fused_sql(lex_where=_EN, sim_where=_KNOWN).replace("sim as (", "near as (").replace("both_lists as (", f"sim as (select * from near where {_EN}), both_lists as (")
     + " select doc_id, lang, score from fused join documents using (doc_id) order by score desc, doc_id limit 100",
 )
 R.add(

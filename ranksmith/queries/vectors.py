@@ -171,13 +171,13 @@ R.add(
 select token, cluster, summary_token, weight from mem
 qualify sum(weight) over (partition by token, cluster order by weight desc, summary_token rows between unbounded preceding and current row) - weight <= floor(sum(weight) over (partition by token, cluster) * 0.4)""",
 )
-R.add("sparse_ann", lambda t: sparse_index.search(_index(t), _PART_QUERY, k=10, top_n=20))
+R.add("sparse_ann", lambda t: sparse_index.search(_index(t), _PART_QUERY, k=10, top_n=40))
 R.add(
     "sparse_ann_exact",
     lambda t: sparse_index.search(_index(t), _PART_QUERY, k=10, documents=1000),
     f"{_DOT} select doc_id, product, round(product * (1.0::double * 3.0 * 16.0 / 255 / 255), 6) as score from prod where product > 0 order by score desc, doc_id limit 10",
 )
-R.add("sparse_ann_filtered", lambda t: sparse_index.search(_index(t), _PART_QUERY, k=10, top_n=20, filter=t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"))))
+R.add("sparse_ann_filtered", lambda t: sparse_index.search(_index(t), _PART_QUERY, k=10, top_n=40, filter=t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"))))
 R.add(
     "sparse_ann_filtered_exact",
     lambda t: sparse_index.search(_index(t), _PART_QUERY, k=50, filter=t.orders.filter("o_custkey = 7").select(F.col("o_orderkey").alias("doc_id"))),
