@@ -371,3 +371,20 @@ def test_highlighting_terms_as_their_spans(spark):
     for encoder in ("default", "html"):
         both_ways = df.select(post.highlight_terms(F.col("t"), ("the", "dog"), "<$b>", "\\1", encoder, 3).alias("a"), post.highlight(F.col("t"), post.term_spans(F.col("t"), ("the", "dog")), "<$b>", "\\1", encoder, 3).alias("b"))
         assert all(r.a == r.b for r in both_ways.collect())
+
+
+def test_sparse_recall_where_posting_lists_are_cut(spark):
+    """Lists of about 750 documents are cut to 160, and a query has the default ten tokens and heap factor."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(d, t, min(3.0, rng.expovariate(2.0))) for d in range(3000) for t in rng.sample(range(100), 25)]
+    index = sparse_index.build(spark.createDataFrame(rows, "doc_id long, token long, weight double"), sparse_index.IndexParameters(n_postings=160))
+    for table in (index.vectors, index.clustered, index.summary):
+        table.persist().count()
+    p, recall = index.parameters, 0
+    for _ in range(5):
+        tokens = {t: rng.expovariate(0.5) for t in rng.sample(range(100), 12)}
+        want = set(ids(sparse_index.top(sparse_index.exact(index.vectors, sparse_index.query_tokens(tokens, p), p), 10)))
+        recall += len(want & set(ids(sparse_index.search(index, tokens, k=10)))) / 50
+    assert recall >= 0.9
