@@ -3,55 +3,96 @@
 Shingles: ASCII-lower-cased words (runs of anything but the six ASCII spaces), five at a time, as a set of 64-bit
 hashes; fewer words are one shingle as a whole. No words are the empty set, and empty sets are alike.
 
-Pairs: in any one order of all shingles, two sets of n and m shingles that are similar enough share one of their first
-``n - ceil(0.8 n) + 1`` and ``m - ceil(0.8 m) + 1``. Each *distinct* set is filed under these; pairs of a bucket that the
-places and sizes do not rule out are compared on whole sets, unless the parities of the sets in a number of
-classes differ in more places than sets so similar can (a bound without loss; the number grows with the set). The order puts shingles that a sample finds in
-many documents last, the more frequent the later, so shared passages seldom meet; what the sample holds changes no result.
-
-A bucket first compares its members with its first one only. Then pairs are compared whose members are not
-connected yet, so a large group of near copies takes about as many comparisons as it has members.
-
-Defined results: rows are told apart by position; of a component the smallest id stays, of ties the first row, and a
-null id only if there is no other. The input must be a replayable scan.
+The SimHash join of ``simhash_dedup`` (fingerprints of these sets, at most two bits apart) gives the first candidates. By
+itself it misses most pairs of similarity 0.8, whose fingerprints lie around ten bits apart, so the others are found by
+an exact search among *distinct* sets:
+
+1. *Order.* Shingles travel in packed blocks to buckets of their hash, where those of more than one document are
+   counted. Only these, with their counts, go back to the block they came from. Shingles that a sample finds in many documents stay
+   at home; they count as more frequent than all others.
+2. *Prefixes.* Ordered by count, two sets of n and m shingles that are similar enough share one of their first
+   ``n - ceil(0.8 n) + 1`` and ``m - ceil(0.8 m) + 1``. Shingles of one document only come first and meet nothing, so a
+   document whose own text exceeds a fifth is not filed at all, whatever passages it shares with others.
+3. *Pairs.* A bucket of documents that share a prefix shingle compares its members with its first one: each document with
+   the one that it meets in most buckets, then with the others if they are not connected yet. Then pairs are compared whose
+   members are in different components, so a large group of near copies takes about as many comparisons as it has members.
+   Places and numbers of shared shingles rule out pairs without loss, and so do the parities of the sets in ``PARITY_WORDS * 64``
+   classes, which differ in no more places than the sets have shingles of only one of them; the others are verified on whole sets.
+
+A bucket whose members are in different components is dealt out in cells of ``CELL`` members of its largest component, so no task
+holds more of a bucket than such a cell and the members outside of that component.
+
+Defined results: rows are told apart by file and place; of a component the smallest id stays, of ties the first row, and a
+null id only if there is no other. Long texts are read in pieces. Columns may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ranksmith.llm.arrays import U64, chunks, lists, mix, spans, utf8, word_hashes
+from ranksmith.llm.arrays import CHUNK_BYTES, U64, chunks, lists, mix, segments, spans, utf8, word_hashes
 from ranksmith.llm.components import connected_components
-from ranksmith.llm.storage import drop, materialize, small_batches
+from ranksmith.llm.simhash_dedup import fingerprint_links, majority, ones
+from ranksmith.llm.storage import Rows, drop, kept_columns, materialize, small_batches, unpacked, wider
 
 SHINGLE = 5
 SAMPLE_DOCS = 10_000
-#: Shingles of so many documents of the sample come last in the order; at most ``MOST_FREQUENT`` of them.
+#: Shingles of so many documents of the sample stay at home; at most ``MOST_FREQUENT`` of them.
 FREQUENT = 8
 MOST_FREQUENT = 200_000
+BLOCK_SHINGLES = 400_000
+BUCKET_SHINGLES = 1 << 22
+#: Bytes of a shingle's hash that travel, besides the bits that name its bucket.
+TRAVEL_BYTES = 6
 BROADCAST_ROWS = 200_000
-SMALL_BUCKET = 64
+SMALL_CELL = 64
+CELL = 512
+PARITY_WORDS = 16
+_TOKENS, _SIZES, _REPEATED = 0, 1, 2
+_OFTEN = 1 << 31
 _P = [U64(pow(0xD6E8FEB86659FD93, j, 1 << 64)) for j in range(SHINGLE)]
 
 
+def _shingle_hashes(words: np.ndarray) -> np.ndarray:
+    n = max(0, len(words) - SHINGLE + 1)
+    every = np.zeros(n, U64)
+    for j in range(SHINGLE):
+        every += words[j : j + n] * _P[j]
+    return mix(every)
+
+
+def _lower(data: np.ndarray) -> np.ndarray:
+    return np.frombuffer(data.tobytes().lower(), np.uint8)
+
+
+def _long_shingles(data: np.ndarray) -> np.ndarray:
+    """Those of one long text, read in pieces."""
+    found = []
+    for piece, _, _ in segments(data, CHUNK_BYTES, SHINGLE - 1):
+        part = _lower(piece)
+        starts, ends, _ = spans(part, np.array([0, len(part)]))
+        found.append(np.unique(_shingle_hashes(word_hashes(part, starts, ends))) if len(starts) >= SHINGLE else np.zeros(0, U64))
+    return np.unique(np.concatenate(found))
+
+
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     offsets, data = utf8(column)
     for lo, hi in chunks(offsets):
-        at = offsets[lo : hi + 1] - offsets[lo]
-        part = np.frombuffer(data[offsets[lo] : offsets[hi]].tobytes().lower(), np.uint8)
-        starts, ends, first = spans(part, at)
+        part = data[offsets[lo] : offsets[hi]]
+        if len(part) > 2 * CHUNK_BYTES and len(long := _long_shingles(part)):  # one row
+            yield long
+            continue
+        part = _lower(part)
+        starts, ends, first = spans(part, offsets[lo : hi + 1] - offsets[lo])
         words = word_hashes(part, starts, ends) if len(starts) else np.zeros(0, U64)
-        n = max(0, len(words) - SHINGLE + 1)
-        every = np.zeros(n, U64)
-        for j in range(SHINGLE):
-            every += words[j : j + n] * _P[j]
-        every = mix(every)
+        every = _shingle_hashes(words)
         for a, b in zip(first.tolist(), first[1:].tolist()):
             if b - a >= SHINGLE:
                 yield np.unique(every[a : b - SHINGLE + 1])
@@ -62,139 +103,236 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
                 yield words[:0]
 
 
-def _signed(values: list[np.ndarray]) -> pa.Array:
-    flat = np.concatenate(values) if values else np.zeros(0, U64)
-    return lists(pa.array(flat.view(np.int64)), np.array([len(v) for v in values], np.int64))
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column("_row"), _signed(list(shingle_sets(batch.column("_text"))))], ["_row", "shingles"])
+        each = list(shingle_sets(batch.column("_text")))
+        flat = np.concatenate(each) if each else np.zeros(0, U64)
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), lists(pa.array(flat.view(np.int64)), np.array([len(v) for v in each], np.int64))], ["_row", "shingles"])
+
+
+def parities(s: np.ndarray) -> bytes:
+    """Whether the number of shingles is odd, in each class of their last bits."""
+    odd = np.bincount((s & U64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """Whether the number of shingles is odd in each class of their last bits: a power of two of at least 2 n classes, 64 to a word."""
-    classes = 64
-    while classes < 2 * len(s):
-        classes *= 2
-    odd = np.bincount((s & U64(classes - 1)).astype(np.int64), minlength=classes) & 1
-    return np.packbits(odd.astype(np.uint8)).view(U64)
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size, digest, fingerprint and parities of each set."""
+    for batch in batches:
+        n, d1, d2, fp, odd = [], [], [], [], []
+        for s in shingle_sets(batch.column("_text")):
+            n.append(len(s))
+            d1.append(np.sum(s, dtype=U64))
+            d2.append(np.sum(mix(s ^ U64(0x5851F42D4C957F2D)), dtype=U64))
+            fp.append(majority(ones(s), len(s)) if len(s) else 0)
+            odd.append(parities(s))
+        sums = [pa.array(np.array(d, U64).view(np.int64)) for d in (d1, d2, fp)]
+        yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), pa.array(n, pa.int64()), *sums, pa.array(odd, pa.binary())], ["_row", "_id", "n", "d1", "d2", "fp", "odd"])
+
+
+_BLOCKS = "bucket int, base long, kind int, at binary, shingles binary, counts binary"
+
+
+def _binary(values: np.ndarray, cuts: np.ndarray, width: int) -> pa.Array:
+    """Runs of ``values`` that begin at ``cuts`` (one more entry, the end), as their first ``width`` bytes."""
+    at = np.ascontiguousarray(cuts * width).astype(np.int32)
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.itemsize)[:, :width]
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(at.tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+def travel(bits: int) -> int:
+    """Bytes that travel where ``bits`` name a bucket."""
+    return min(TRAVEL_BYTES, (64 - bits) // 8)
+
+
+def _blocks(bucket, base, kind: int, cuts, at, shingles, counts, wide: int = 8) -> pa.RecordBatch:
+    """One row for each run: documents (distance from the block's first), shingles or sizes, and their counts."""
+    n, cuts = len(cuts) - 1, np.asarray(cuts, np.int64)
+    columns = [pa.array(np.broadcast_to(np.asarray(x), n).astype(t)) for x, t in ((bucket, np.int32), (base, np.int64), (kind, np.int32))]
+    parts = [_binary(x.astype(t), cuts, w) for x, t, w in ((at, np.int32, 4), (shingles, U64, wide), (counts, np.uint32, 4 if kind != _TOKENS else 0))]
+    return pa.RecordBatch.from_arrays([*columns, *parts], ["bucket", "base", "kind", "at", "shingles", "counts"])
+
+
+def _cuts(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin, and the end."""
+    if not len(values):
+        return np.zeros(1, np.int64)
+    return np.concatenate(([0], np.flatnonzero(values[1:] != values[:-1]) + 1, [len(values)]))
+
+
+def _deal(shared, bits: int):
+    """Blocks of consecutive documents: their shingles by bucket, and their numbers of shingles and of frequent ones."""
+
+    def block(rows: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        known, often = shared.value
+        base, n = rows[0], np.array([len(s) for s in sets], np.int64)
+        index, shingles = np.repeat(np.arange(len(n)), n), np.concatenate(sets)
+        count = np.zeros(len(shingles), np.int64)
+        if len(known):
+            place = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+            count = np.where(known[place] == shingles, often[place], 0)
+        frequent = np.bincount(index[count > 0], minlength=len(n))
+        at, home = np.array(rows, np.int64) - base, -1 - int(mix(np.array([base], U64))[0] % U64(1 << bits))
+        yield _blocks(home, base, _SIZES, [0, len(n)], at, n, frequent)
+        # What travels of a hash decides which shingles count as one; a set in which two fall together holds that one twice.
+        shingles = shingles >> U64(64 - bits - 8 * travel(bits))
+        # Frequent shingles are in the prefix of only those sets of which they make four fifths.
+        take = (count > 0) & (5 * frequent >= 4 * n)[index]
+        if take.any():
+            yield _blocks(home, base, _REPEATED, [0, int(take.sum())], at[index[take]], shingles[take], count[take] + _OFTEN)
+        rest = count == 0
+        bucket = (shingles[rest] >> U64(8 * travel(bits))).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        cuts, own = _cuts(bucket[order]), shingles[rest][order]
+        if len(own):
+            yield _blocks(bucket[order][cuts[:-1]], base, _TOKENS, cuts, at[index[rest]][order], own, np.zeros(len(own), np.uint32), travel(bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, sets, size = [], [], 0
+            for row, s in zip(batch.column("_row").to_pylist(), shingle_sets(batch.column("_text"))):
+                if rows and (size + len(s) > BLOCK_SHINGLES or not 0 <= row - rows[0] < 1 << 31):
+                    yield from block(rows, sets)
+                    rows, sets, size = [], [], 0
+                rows.append(row)
+                sets.append(s)
+                size += len(s)
+            if rows:
+                yield from block(rows, sets)
 
+    return run
 
-def _apart(x: Column, y: Column) -> Column:
-    """In how many places parities differ, after the longer ones are folded; no more than the shingles of only one set.
 
-    A place of the first half folds onto that of the second. Sets so similar have a size of at least 0.8 of each other."""
-    xor = lambda a, b: F.zip_with(a, b, lambda v, w: v.bitwiseXOR(w))
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of one key after another; they arrive sorted by it."""
+    rows = (row for batch in batches for row in batch.to_pylist())
+    return ((k, list(of)) for k, of in groupby(rows, key=lambda row: row[key]))
 
-    def folded(a: Column, other: Column) -> Column:
-        half = F.floor(F.size(a) / 2).cast("int")
-        return F.when(F.size(a) > F.size(other), xor(F.slice(a, F.lit(1), half), F.slice(a, half + 1, half))).otherwise(a)
 
-    return F.aggregate(xor(folded(x, y), folded(y, x)), F.lit(0), lambda n, v: n + F.bit_count(v))
+def _joined(rows: list[dict], wide: int = 8) -> tuple[np.ndarray, ...]:
+    """Row of the list, document, shingle and count of all entries."""
+    at, raw, counts = (np.frombuffer(b"".join([x[c] for x in rows]), t) for c, t in (("at", np.int32), ("shingles", np.uint8), ("counts", np.uint32)))
+    shingles = np.zeros((len(at), 8), np.uint8)
+    shingles[:, :wide] = raw.reshape(len(at), wide)
+    return np.repeat(np.arange(len(rows)), [len(x["at"]) // 4 for x in rows]), at, shingles.view(U64).ravel(), counts
 
 
-def _prefixes(shared):
-    """Size, digest and parities of each set, and its first shingles in the common order."""
+def _repeated(bits: int):
+    """Of each bucket the shingles of several documents, with their counts, by the block they came from."""
+    schema = pa.schema([("bucket", pa.int32()), ("base", pa.int64()), ("kind", pa.int32()), ("at", pa.binary()), ("shingles", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, count = shared.value
-        for batch in batches:
-            n, d1, d2, bits, first = [], [], [], [], []
-            for s in shingle_sets(batch.column("_text")):
-                n.append(len(s))
-                d1.append(np.sum(s, dtype=U64))
-                d2.append(np.sum(mix(s ^ U64(0x5851F42D4C957F2D)), dtype=U64))
-                bits.append(parities(s))
-                take = len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0
-                if len(known) and len(s):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    often = np.where(known[at] == s, count[at], 0)
-                    if often.any():
-                        s = s[np.lexsort((s, often))]
-                first.append(s[:take])
-            sums = [pa.array(np.array(d, U64).view(np.int64)) for d in (d1, d2)]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), batch.column("_id"), pa.array(n, pa.int32()), *sums, _signed(bits), _signed(first)], ["_row", "_id", "n", "d1", "d2", "bits", "first_shingles"])
+        for bucket, rows in _groups(batches, "bucket"):
+            if bucket < 0:
+                yield pa.RecordBatch.from_pylist(rows, schema)
+                continue
+            of, at, shingles, _ = _joined(rows, travel(bits))
+            order = np.argsort(shingles, kind="stable")
+            sizes = np.diff(_cuts(shingles[order]))
+            count = np.repeat(sizes, sizes)
+            order, count = order[count > 1], count[count > 1]
+            back = np.argsort(order)
+            order, count = order[back], count[back]
+            if len(order):
+                cuts = _cuts(of[order])
+                base = np.array([x["base"] for x in rows], np.int64)[of[order][cuts[:-1]]]
+                yield _blocks(bucket, base, _REPEATED, cuts, at[order], shingles[order] | U64(bucket << 8 * travel(bits)), np.minimum(count, _OFTEN - 1))
 
     return run
 
 
-def _may_link(n, i, m, j) -> np.ndarray:
-    """Whether sets of ``n`` and ``m`` shingles that share those at places ``i`` and ``j`` can be similar enough."""
-    most = np.minimum(i, j) + 1 + np.minimum(n - i, m - j) - 1
-    return 9 * most >= 4 * (n + m)
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The prefix shingles that a document shares, with their place among those it shares; blocks arrive sorted."""
+    for base, rows in _groups(batches, "base"):
+        sizes = [x for x in rows if x["kind"] == _SIZES]
+        _, docs, n, frequent = _joined(sizes)
+        _, at, shingles, count = _joined([x for x in rows if x["kind"] == _REPEATED])
+        n, index = n.astype(np.int64), np.searchsorted(docs, at)
+        shared = np.bincount(index[count < _OFTEN], minlength=len(n)) + frequent
+        wanted = np.where(n > 0, n - (4 * n + 4) // 5 + 1 - (n - shared), 0)
+        order = np.lexsort((shingles, count, index))
+        index, shingles = index[order], shingles[order]
+        first = np.searchsorted(index, np.arange(len(n)))
+        place = np.arange(len(index)) - first[index]
+        kept = place < wanted[index]
+        index = index[kept]
+        columns = [shingles[kept].view(np.int64), base + docs[index].astype(np.int64), n[index], shared[index].astype(np.int64), place[kept]]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "_row", "n", "shared", "place"])
+
+
+def _frequent(rows: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that a sample of about ``SAMPLE_DOCS`` rows finds in at least ``FREQUENT`` of them, sorted, and how often."""
+    every = max(1, -(-total // SAMPLE_DOCS))
+    sample = rows.select("_row", "_text").filter(F.pmod(F.xxhash64("_row"), F.lit(every)) == 0).mapInArrow(_sets, "_row long, shingles array<long>")
+    often = sample.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
+    found = often.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).toPandas()
+    known = found["key"].to_numpy(np.int64).view(U64)
+    order = np.argsort(known)
+    return known[order], found["n"].to_numpy(np.int64)[order]
 
 
-def _buckets(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """The columns of whole buckets, some at a time; rows arrive sorted by key."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-        if held and now[0][-1] == held[0][0][-1] and now[0][0] == now[0][-1]:
-            held.append(now)  # the bucket that is open goes on
-            continue
-        every = [np.concatenate(x) for x in zip(*held, now)]
-        whole = int(np.searchsorted(every[0], every[0][-1]))
-        if whole:
-            yield [x[:whole] for x in every]
-        held = [[x[whole:] for x in every]]
-    if held:
-        yield [np.concatenate(x) for x in zip(*held)]
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of buckets of two and more, with the bucket's first row, its size, and whether the two can be similar enough."""
-    for key, row, n, place in _buckets(batches, ["key", "_row", "n", "place"]):
-        begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sizes = np.diff(np.concatenate((begins, [len(key)])))
-        lead, size = np.repeat(begins, sizes), np.repeat(sizes, sizes)
-        may = _may_link(n, place, n[lead], place[lead]) & (lead != np.arange(len(key)))
-        kept = np.flatnonzero(size > 1)
-        for part in np.array_split(kept, len(kept) // 50_000 + 1):
-            columns = [key[part], row[part], n[part], place[part], row[lead[part]], size[part].astype(np.int64), may[part]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "_row", "n", "place", "lead", "size", "may"])
+def filed(rows: DataFrame, documents: int, shingles: int) -> DataFrame:
+    """``key, _row, n, shared, place``: documents under the shared shingles of their prefixes."""
+    bits = max(10, (max(1, shingles) // BUCKET_SHINGLES).bit_length())
+    shared = rows.sparkSession.sparkContext.broadcast(_frequent(rows, documents))
+    dealt = rows.select("_row", "_text").mapInArrow(_deal(shared, bits), _BLOCKS).repartition("bucket").sortWithinPartitions("bucket")
+    back = dealt.mapInArrow(_repeated(bits), _BLOCKS).repartition("base").sortWithinPartitions("base")
+    return back.mapInArrow(_prefixes, "key long, _row long, n long, shared long, place long")
 
 
-def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket that are not connected yet; those with its first row have been compared."""
+def _may_link(n, shared, place, m, others, at):
+    """Whether two sets that share a shingle, at these places among those that they share with any, can be similar enough."""
+    least = F.least if isinstance(n, Column) else np.minimum
+    return 9 * (least(place, at) + least(shared - place, others - at)) >= 4 * (n + m)
 
-    def out(row, a, b):
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(row[a], row[b])), pa.array(np.maximum(row[a], row[b]))], ["a", "b"])
 
-    for key, row, n, place, lead, root in _buckets(batches, ["key", "_row", "n", "place", "lead", "root"]):
-        rest = row != lead
-        key, row, n, place, root = (x[rest] for x in (key, row, n, place, root))
-        if not len(key):
-            continue
-        begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sizes = np.diff(np.concatenate((begins, [len(key)])))
-        idx, d = np.flatnonzero(np.repeat(sizes <= SMALL_BUCKET, sizes)), 1
-        while len(idx):
-            idx = idx[idx + d < len(key)]
-            idx = idx[key[idx] == key[idx + d]]
-            to = idx + d
-            found = (root[idx] != root[to]) & _may_link(n[idx], place[idx], n[to], place[to])
-            if found.any():
-                yield out(row, idx[found], to[found])
+def _unconnected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a cell whose members are in different components. A pair outside of the main component counts where its first
+    one is at home; rows arrive sorted by cell and row."""
+    names = ["cell", "_row", "n", "shared", "place", "root", "main", "home", "odd"]
+
+    def pairs(x: dict, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fine = (x["root"][a] != x["root"][b]) & (x["main"][a] | x["main"][b] | x["home"][np.minimum(a, b)])
+        fine &= _may_link(*(x[c][a] for c in ("n", "shared", "place")), *(x[c][b] for c in ("n", "shared", "place")))
+        a, b = a[fine], b[fine]
+        fine = 9 * np.bitwise_count(x["odd"][a] ^ x["odd"][b]).sum(axis=1, dtype=np.int64) <= x["n"][a] + x["n"][b]
+        a, b = x["_row"][a[fine]], x["_row"][b[fine]]
+        for lo in range(0, len(a), 50_000):
+            part = a[lo : lo + 50_000], b[lo : lo + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*part)), pa.array(np.maximum(*part))], ["a", "b"])
+
+    def cells() -> Iterator[dict]:
+        held: dict = {}
+        for batch in batches:
+            now = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names if c != "odd"}
+            now["odd"] = np.frombuffer(b"".join(batch.column("odd").to_pylist()), U64).reshape(-1, PARITY_WORDS)
+            held = {c: np.concatenate((held[c], now[c])) for c in names} if held else now
+            if len(held["cell"]) and held["cell"][0] != held["cell"][-1]:
+                whole = int(np.searchsorted(held["cell"] == held["cell"][-1], True))
+                yield {c: v[:whole] for c, v in held.items()}
+                held = {c: v[whole:] for c, v in held.items()}
+        if held:
+            yield held
+
+    for x in cells():
+        cuts = _cuts(x["cell"])
+        sizes = np.diff(cuts)
+        index, d = np.flatnonzero(np.repeat(sizes <= SMALL_CELL, sizes)), 1
+        while len(index):
+            index = index[index + d < len(x["cell"])]
+            index = index[x["cell"][index] == x["cell"][index + d]]
+            yield from pairs(x, index, index + d)
             d += 1
-        for at, many in zip(begins[sizes > SMALL_BUCKET].tolist(), sizes[sizes > SMALL_BUCKET].tolist()):
-            roots, of, members = np.unique(root[at : at + many], return_inverse=True, return_counts=True)
-            order = at + np.argsort(members[of], kind="stable")  # members of the largest component come last
-            for k in range(many - int(members.max()) if len(roots) > 1 else 0):
-                x, to = order[k], order[k + 1 :]
-                to = to[(root[to] != root[x]) & _may_link(n[to], place[to], n[x], place[x])]
-                for part in np.array_split(to, len(to) // 50_000 + 1) if len(to) else ():
-                    yield out(row, np.full(len(part), x), part)
+        for at, size in zip(cuts[:-1][sizes > SMALL_CELL].tolist(), sizes[sizes > SMALL_CELL].tolist()):
+            own = np.arange(at, at + size)
+            order = np.concatenate((own[~x["main"][own]], own[x["main"][own]]))
+            for i in range(int((~x["main"][own]).sum())):
+                yield from pairs(x, np.full(size - i - 1, order[i]), order[i + 1 :])
 
 
-def _verified(pairs: DataFrame, marked: DataFrame, texts: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of ``pairs(a, b)`` whose whole sets have a similarity of at least 0.8, written."""
-    left, right = (marked.select(F.col("_row").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"x{c}")) for c in "ab")
-    sizes = (5 * F.col("na") >= 4 * F.col("nb")) & (5 * F.col("nb") >= 4 * F.col("na"))
-    near = F.when(sizes, 9 * _apart(F.col("xa"), F.col("xb")) <= F.col("na") + F.col("nb"))
-    pairs, pairs_path = materialize(pairs.distinct().join(left, "a").join(right, "b").filter(near).select("a", "b"), "pairs")
+    pairs, pairs_path = materialize(pairs.distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
     if pairs.count() <= BROADCAST_ROWS // 2:
         ends = F.broadcast(ends)
@@ -208,43 +346,69 @@ def _verified(pairs: DataFrame, marked: DataFrame, texts: DataFrame) -> DataFram
     return links
 
 
-def near_copy_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``_row`` of the documents that stay: one of each component."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
-    texts = rows.select("_row", "_text")
+def _rooted(rows: DataFrame, roots: DataFrame, name: str, root: str) -> DataFrame:
+    """``rows`` with the component of the row in column ``name``."""
+    of = roots.select(F.col("node").alias(name), F.col("root").alias("_found"))
+    return rows.join(of, name, "left").withColumn(root, F.coalesce("_found", name)).drop("_found")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    return _rooted(_rooted(pairs, roots, "a", "_ra"), roots, "b", "_rb").filter("_ra <> _rb").select(*pairs.columns)
+
+
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """Sets of one fingerprint, and of fingerprints that the SimHash join links: ``a, b``."""
+    first, _ = materialize(nodes.groupBy("fp").agg(F.min("_row").alias("rep")), "fingerprints")
+    equal = nodes.join(first, "fp").filter("_row <> rep").select(F.col("rep").alias("a"), F.col("_row").alias("b"))
+    of = {c: first.select(F.col("fp").alias(f"f{c}"), F.col("rep").alias(c)) for c in "ab"}
+    linked = fingerprint_links(first.select("fp")).toDF("fa", "fb").join(of["a"], "fa").join(of["b"], "fb")
+    return equal.unionByName(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
-    every = max(1, -(-docs.count() // SAMPLE_DOCS))
-    sample = texts.filter(F.pmod(F.xxhash64("_row"), F.lit(every)) == 0).mapInArrow(_sets, "_row long, shingles array<long>")
-    often = sample.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= FREQUENT)
-    often = often.orderBy(F.desc("n"), "key").limit(MOST_FREQUENT).toPandas()
-    known = often["key"].to_numpy(np.int64).view(U64)
-    order = np.argsort(known)
-    shared = spark.sparkContext.broadcast((known[order], often["n"].to_numpy(np.int64)[order]))
 
-    kind = docs.schema[doc_id].dataType.simpleString()
-    marked, _ = materialize(rows.mapInArrow(_prefixes(shared), f"_row long, _id {kind}, n int, d1 long, d2 long, bits array<long>, first_shingles array<long>"), "prefixes")
+def _open_pairs(found: DataFrame, roots: DataFrame, marked: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of any bucket whose members are in different components."""
+    rooted, _ = materialize(_rooted(found, roots, "_row", "root"), "rooted")
+    each = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots"))
+    mixed, _ = materialize(each.filter("roots > 1").select("key", F.col("most.root").alias("main_root"), F.ceil(F.col("most.c") / F.lit(CELL)).cast("int").alias("cells")), "mixed")
+    own = F.pmod(F.xxhash64("_row"), F.col("cells")).cast("int")
+    rows = rooted.join(mixed, "key").join(marked.select("_row", "odd"), "_row").withColumn("main", F.col("root") == F.col("main_root")).withColumn("own", own)
+    rows = rows.withColumn("part", F.explode(F.when(F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("cells") - 1))))
+    rows = rows.select(F.xxhash64("key", "part").alias("cell"), "_row", "n", "shared", "place", "root", "main", (F.col("own") == F.col("part")).alias("home"), "odd")
+    return rows.repartition("cell").sortWithinPartitions("cell", "_row").mapInArrow(_unconnected, "a long, b long")
+
+
+def near_copy_rows(rows: DataFrame) -> DataFrame:
+    """Of rows of ``_row, _id, _text`` the ``_row`` of those that go: all but one of each component."""
+    small_batches(rows.sparkSession)
+    texts = rows.select("_row", "_text")
+    marked, _ = materialize(rows.mapInArrow(_marks, wider(rows.select("_row", "_id").schema, n="long", d1="long", d2="long", fp="long", odd="binary")), "marks")
     # Equal sets meet by their digest before any join; one row of each stands for them.
     least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")
-    nodes, _ = materialize(marked.groupBy("n", "d1", "d2").agg(least).select("first", F.col("first._row").alias("_row")), "nodes")
-    filed = marked.join(nodes.select("_row"), "_row", "left_semi").select("_row", F.col("n").cast("long").alias("n"), F.posexplode("first_shingles").alias("place", "key"))
-    filed = filed.select("key", "_row", "n", F.col("place").cast("long").alias("place")).repartition("key").sortWithinPartitions("key", "_row")
-    buckets, _ = materialize(filed.mapInArrow(_shared, "key long, _row long, n long, place long, lead long, size long, may boolean"), "buckets")
+    nodes, _ = materialize(marked.groupBy("n", "d1", "d2").agg(least, F.min("fp").alias("fp")).select("first", F.col("first._row").alias("_row"), "fp"), "nodes")
 
-    links = _verified(buckets.filter("may").select(F.col("lead").alias("a"), F.col("_row").alias("b")), marked, texts)
+    size = marked.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    found, _ = materialize(filed(rows, *size).join(nodes.select("_row"), "_row", "left_semi"), "filed")
+    leads, _ = materialize(found.groupBy("key").agg(F.min(F.struct("_row", "n", "shared", "place")).alias("lead"), F.count("*").alias("size")).filter("size > 1"), "leads")
+    may = _may_link(*(F.col(c) for c in ("n", "shared", "place")), *(F.col(f"lead.{c}") for c in ("n", "shared", "place")))
+    met = found.join(leads, "key").filter((F.col("_row") != F.col("lead._row")) & may).groupBy(F.col("lead._row").alias("a"), F.col("_row").alias("b")).agg(F.count("*").alias("times"))
+    met, _ = materialize(met, "met")
+    best = met.groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+
+    links = _verified(best.unionByName(_simhash_pairs(nodes)), texts)
+    roots, _ = materialize(connected_components(links, "a", "b"), "roots")
+    links = links.unionByName(_verified(_apart(met.select("a", "b"), roots), texts))
     roots, _ = materialize(connected_components(links, "a", "b"), "roots")
-    open_ = buckets.filter("size > 2").join(roots.withColumnRenamed("node", "_row"), "_row", "left").withColumn("root", F.coalesce("root", "_row"))
-    open_ = open_.select("key", "_row", "n", "place", "lead", "root").repartition("key").sortWithinPartitions("key", "_row")
-    links = links.unionByName(_verified(open_.mapInArrow(_unconnected, "a long, b long"), marked, texts))
+    wide = found.join(leads.filter("size > 2").select("key"), "key", "left_semi")
+    links = links.unionByName(_verified(_open_pairs(wide, roots, marked), texts))
     roots = connected_components(links, "a", "b")
 
-    of = nodes.join(roots.withColumnRenamed("node", "_row"), "_row", "left").withColumn("root", F.coalesce("root", "_row"))
-    return of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    of = _rooted(nodes, roots, "_row", "root")
+    keep = of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    return marked.select("_row").join(keep, "_row", "left_anti")
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest id, of ties the first."""
-    keep, _ = materialize(near_copy_rows(docs, doc_id, text), "kept")
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    return rows.join(keep, "_row", "left_semi").select(*[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns])
+    rows = Rows(docs)
+    gone, _ = materialize(near_copy_rows(rows.select(F.col(f"`{doc_id}`").alias("_id"), F.col(f"`{text}`").cast("string").alias("_text"))), "gone")
+    return rows.select(kept_columns(docs).alias("_doc")).join(gone, "_row", "left_anti").select(*unpacked(docs))

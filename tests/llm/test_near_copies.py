@@ -32,7 +32,7 @@ def corpus():
         words = rng.choices(base, k=rng.randint(6, 200))
         texts += [" ".join(words), " ".join(edited(rng, words, max(1, len(words) // 60))).upper(), " ".join(edited(rng, words, len(words) // 30))]
     long = rng.choices(base, k=150)
-    texts += [" ".join(edited(rng, long, rng.randint(0, 5))) for _ in range(90)]  # a bucket of over SMALL_BUCKET
+    texts += [" ".join(edited(rng, long, rng.randint(0, 5))) for _ in range(90)]  # a bucket of over SMALL_CELL
     texts += [" ".join(passage + rng.choices(base, k=rng.randint(1, 30))) for _ in range(90)]
     chain = rng.choices(base, k=100)
     for _ in range(8):
