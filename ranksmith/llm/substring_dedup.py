@@ -261,6 +261,7 @@ def repeated_windows(rows: DataFrame, k: int = WINDOW, m: int = MINIMISER, max_b
     scanned, _ = materialize(rows.mapInArrow(_scan(k, m), schema), "minimisers")
     runs = scanned.select("_row", F.explode("runs").alias("run")).select("_row", "run.*")
     repeated = runs.groupBy("mh").agg(F.sum("picks").alias("n")).filter("n > 1").select("mh", (F.col("n") > max_bucket).alias("hot"))
+    repeated, _ = materialize(repeated, "repeated")  # as a table, so that the join can split a minimiser of very many places
     flagged = runs.join(repeated, "mh").groupBy("_row").agg(F.collect_list(F.struct("mh", "first", "windows", "hot")).alias("runs"))
     texts, _ = materialize(rows.select("_row", "_text").join(flagged, "_row"), "flagged")
 
@@ -271,6 +272,7 @@ def repeated_windows(rows: DataFrame, k: int = WINDOW, m: int = MINIMISER, max_b
     covered = cold.mapInArrow(_count(k), "mh long, digest binary, covered array<struct<lo:int,hi:int>>")
     single = strings.filter("hot").drop("hot").mapInArrow(_single_windows(k), "mh long, digest binary, window binary, lo int, n long")
     often = single.groupBy("window").agg(F.sum("n").alias("total")).filter("total > 1").select("window")
+    often, _ = materialize(often, "often")  # the same for a window of very many strings
     covered = covered.unionByName(single.join(often, "window").select("mh", "digest", F.array(F.struct("lo", (F.col("lo") + k).cast("int").alias("hi"))).alias("covered")))
 
     places = texts.mapInArrow(_packed(k, False), "mh long, digest binary, _row long, first int")
