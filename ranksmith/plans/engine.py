@@ -22,13 +22,15 @@ NORMALIZATION, RANKER = "normalization-processor", "score-ranker-processor"
 
 @dataclass
 class Engine:
-    """Plans searches over one corpus (``doc_id`` and fields). ``indices``: sparse indexes by field; ``agent``: text to a query."""
+    """Plans searches over one corpus (``doc_id`` and fields). ``indices``: sparse indexes by field; ``agent``: text to a query;
+    ``alias_filter``: a condition that every request gets, as that of an alias or of document-level security."""
 
     corpus: DataFrame
     models: ModelRegistry = field(default_factory=ModelRegistry)
     space: str = "l2"
     indices: Mapping[str, sparse_index.SparseIndex] = field(default_factory=dict)
     agent: Callable[[str, Mapping], Mapping] | None = None
+    alias_filter: Mapping | None = None
 
     # Clauses that only say yes or no.
     def condition(self, query: Mapping) -> Column:
@@ -217,6 +219,7 @@ class Engine:
                 raise dsl.QueryError(f"unknown request processor {name!r}")
         if dsl.clause(query)[0] == "agentic":
             raise dsl.QueryError("an agentic query needs the agentic_query_translator processor")
+        query = dsl.add_filter(query, self.alias_filter) if self.alias_filter else query
         return {**request, "query": query}
 
     def _translated(self, request: Mapping) -> tuple[dict, dict]:

@@ -310,6 +310,15 @@ def test_filters_leave_word_statistics_alone(forty):
         assert found and all(s == pytest.approx(alone.get(i, 0.0)) for i, s in found.items())
 
 
+def test_alias_filters_hold_in_every_request(forty):
+    alias = Engine(forty.corpus, alias_filter={"term": {"kind": "even"}})
+    q, scores = hybrid(words("word"), words("pad")), {r.doc_id: r.score for r in forty.search({"query": words("pad"), "size": 50}).collect()}
+    assert set(ids(alias.search({"query": q, "size": 50}))) == set(range(1, 40, 2))
+    found = {r.doc_id: r.score for r in alias.search({"query": words("pad"), "size": 50}).collect()}
+    assert set(found) == set(range(1, 40, 2)) and all(s == pytest.approx(scores[i]) for i, s in found.items())
+    assert ids(alias.search({"query": q, "size": 2, "sort": [{"price": "desc"}]})) == [39, 37] and alias.matched({"query": q}).count() == 20
+
+
 def test_two_phases_with_boosts(forty):
     tokens = {"word": 2.0, "pad": 0.5}
     two = {"request_processors": [{"neural_sparse_two_phase_processor": {}}]}
