@@ -47,9 +47,10 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("frequent", [8, 10**9])
-def test_the_stage_matches_brute_force(spark, monkeypatch, frequent):
+@pytest.mark.parametrize("frequent,cell", [(8, 512), (10**9, 6)])
+def test_the_stage_matches_brute_force(spark, monkeypatch, frequent, cell):
     monkeypatch.setattr(N, "FREQUENT", frequent)
+    monkeypatch.setattr(N, "CELL", cell)
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, root string").repartition(3).cache()
     docs.count()
@@ -75,5 +76,23 @@ def test_the_stage_finds_copies_beyond_two_bits(spark):
     assert [r.doc_id for r in stages.near_duplicates(spark, docs, "").collect()] == [1]
 
 
+def test_cells_pair_all_that_are_apart():
+    """Every pair of different components meets in some cell, with its main component dealt over several cells."""
+    import numpy as np
+    import pyarrow as pa
+
+    root = [0] * 9 + [1, 1, 2, 3]
+    cells = 3
+    rows = []
+    for part in range(cells):
+        for i, r in enumerate(root):
+            main, own = r == 0, i % cells
+            if not main or own == part:
+                rows.append({"cell": part, "_row": i, "n": 1, "shared": 1, "place": 0, "root": r, "main": main, "home": own == part, "odd": bytes(8 * N.PARITY_WORDS)})
+    got = [p for batch in N._unconnected(iter(pa.RecordBatch.from_pylist(rows).slice(k, 5) for k in range(0, len(rows), 5))) for p in zip(*(batch.column(c).to_pylist() for c in "ab"))]
+    assert sorted(got) == [(a, b) for a in range(13) for b in range(a + 1, 13) if root[a] != root[b]]
+    assert 9 * np.bitwise_count(np.frombuffer(N.parities(np.arange(5, dtype=np.uint64)), np.uint64)).sum() == 45
+
+
 def test_empty(spark):
     assert N.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
