@@ -13,9 +13,11 @@ an exact search among *distinct* sets:
 2. *Prefixes.* Ordered by count, two sets of n and m shingles that are similar enough share one of their first
    ``n - ceil(0.8 n) + 1`` and ``m - ceil(0.8 m) + 1``. Shingles of one document only come first and meet nothing, so a
    document whose own text exceeds a fifth is not filed at all, whatever passages it shares with others.
-3. *Pairs.* A bucket of documents that share a prefix shingle compares its members with its first one: each document with
-   the one that it meets in most buckets, then with the others if they are not connected yet. Then pairs are compared whose
-   members are in different components, so a large group of near copies takes about as many comparisons as it has members.
+3. *Pairs.* A bucket of documents that share a prefix shingle compares its members with the one of least text of its own, which
+   is closest to the others of its group: each document with the one that it meets in most buckets, then with the others if they
+   are not connected yet. In ``TURNS`` turns documents outside of the largest component of a bucket meet members of it that are drawn
+   anew in each bucket, ``DRAWN`` at most, which connects groups that another text leads. All these are at most a few comparisons
+   for each document and bucket. Only then are all pairs compared whose members are still in different components.
    Places and numbers of shared shingles rule out pairs without loss, and so do the parities of the sets in ``PARITY_WORDS * 64``
    classes, which differ in no more places than the sets have shingles of only one of them; the others are verified on whole sets.
 
@@ -54,6 +56,9 @@ BROADCAST_ROWS = 200_000
 SMALL_CELL = 64
 CELL = 512
 PARITY_WORDS = 16
+#: Turns in which rows meet drawn members of other components, and how many of them each row meets in a turn.
+TURNS = 2
+DRAWN = 8
 _TOKENS, _SIZES, _REPEATED = 0, 1, 2
 _OFTEN = 1 << 31
 _P = [U64(pow(0xD6E8FEB86659FD93, j, 1 << 64)) for j in range(SHINGLE)]
@@ -365,18 +370,64 @@ def _simhash_pairs(nodes: DataFrame) -> DataFrame:
     return equal.unionByName(linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
 
 
+_FILED = ("key", "_row", "n", "shared", "place")
+
+
+def _like(other: str) -> Column:
+    """Whether a filed row can be similar enough to the one in struct ``other``."""
+    return _may_link(*(F.col(c) for c in _FILED[2:]), *(F.col(f"{other}.{c}") for c in _FILED[2:]))
+
+
+def _mixed(found: DataFrame, roots: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """``found`` with components, and the buckets of several: their largest component, and one of its members, drawn anew for each bucket and turn."""
+    rooted, _ = materialize(_rooted(found, roots, "_row", "root"), "rooted")
+    drawn = F.min(F.struct(F.xxhash64("key", "_row", F.lit(turn)).alias("by"), *_FILED[1:])).alias("lead")
+    each = rooted.groupBy("key", "root").agg(F.count("*").alias("c"), drawn)
+    each = each.groupBy("key").agg(F.max(F.struct("c", "lead", "root")).alias("most"), F.count("*").alias("roots"))
+    cells = F.ceil(F.col("most.c") / F.lit(CELL)).cast("int").alias("cells")
+    return rooted, materialize(each.filter("roots > 1").select("key", F.col("most.root").alias("main_root"), F.col("most.lead").alias("lead"), cells), "mixed")[0]
+
+
+def _drawn_pairs(rooted: DataFrame, mixed: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of each row outside of the largest component of its buckets with members of these, ``DRAWN`` at most."""
+    meets = rooted.join(mixed, "key").filter((F.col("root") != F.col("main_root")) & _like("lead"))
+    some = F.collect_set(F.struct(F.xxhash64("lead._row", "_row").alias("by"), F.col("lead._row").alias("a")))
+    some = meets.groupBy("_row").agg(F.slice(F.sort_array(some), 1, DRAWN).alias("some")).select("_row", F.explode("some.a").alias("a"))
+    return some.select(F.least("a", "_row").alias("a"), F.greatest("a", "_row").alias("b"))
+
+
 def _open_pairs(found: DataFrame, roots: DataFrame, marked: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of any bucket whose members are in different components."""
-    rooted, _ = materialize(_rooted(found, roots, "_row", "root"), "rooted")
-    each = rooted.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "root")).alias("most"), F.count("*").alias("roots"))
-    mixed, _ = materialize(each.filter("roots > 1").select("key", F.col("most.root").alias("main_root"), F.ceil(F.col("most.c") / F.lit(CELL)).cast("int").alias("cells")), "mixed")
+    rooted, mixed = _mixed(found, roots, TURNS)
     own = F.pmod(F.xxhash64("_row"), F.col("cells")).cast("int")
-    rows = rooted.join(mixed, "key").join(marked.select("_row", "odd"), "_row").withColumn("main", F.col("root") == F.col("main_root")).withColumn("own", own)
+    rows = rooted.join(mixed.drop("lead"), "key").join(marked.select("_row", "odd"), "_row").withColumn("main", F.col("root") == F.col("main_root")).withColumn("own", own)
     rows = rows.withColumn("part", F.explode(F.when(F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("cells") - 1))))
     rows = rows.select(F.xxhash64("key", "part").alias("cell"), "_row", "n", "shared", "place", "root", "main", (F.col("own") == F.col("part")).alias("home"), "odd")
     return rows.repartition("cell").sortWithinPartitions("cell", "_row").mapInArrow(_unconnected, "a long, b long")
 
 
+def _components(found: DataFrame, nodes: DataFrame, marked: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, root`` of the near copies among the filed sets."""
+    lead = F.min(F.struct((F.col("n") - F.col("shared")).alias("own"), *_FILED[1:])).alias("lead")
+    leads, _ = materialize(found.groupBy("key").agg(lead, F.count("*").alias("size")).filter("size > 1"), "leads")
+    met = found.join(leads, "key").filter((F.col("_row") != F.col("lead._row")) & _like("lead")).groupBy(F.col("lead._row").alias("a"), F.col("_row").alias("b")).agg(F.count("*").alias("times"))
+    met, _ = materialize(met, "met")
+    best = met.groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
+
+    links = _verified(best.unionByName(_simhash_pairs(nodes)), texts)
+    roots, _ = materialize(connected_components(links, "a", "b"), "roots")
+    wide = found.join(leads.filter("size > 2").select("key"), "key", "left_semi")
+    pairs = _apart(met.select("a", "b"), roots)
+    for turn in range(TURNS):
+        rooted, mixed = _mixed(wide, roots, turn)
+        drawn = _drawn_pairs(rooted, mixed)
+        links = links.unionByName(_verified(drawn if turn else drawn.unionByName(pairs), texts))
+        roots, _ = materialize(connected_components(links, "a", "b"), "roots")
+        wide = rooted.join(mixed.select("key"), "key", "left_semi").select(*_FILED)
+    links = links.unionByName(_verified(_open_pairs(wide, roots, marked), texts))
+    return connected_components(links, "a", "b")
+
+
 def near_copy_rows(rows: DataFrame) -> DataFrame:
     """Of rows of ``_row, _id, _text`` the ``_row`` of those that go: all but one of each component."""
     small_batches(rows.sparkSession)
@@ -388,19 +439,7 @@ def near_copy_rows(rows: DataFrame) -> DataFrame:
 
     size = marked.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     found, _ = materialize(filed(rows, *size).join(nodes.select("_row"), "_row", "left_semi"), "filed")
-    leads, _ = materialize(found.groupBy("key").agg(F.min(F.struct("_row", "n", "shared", "place")).alias("lead"), F.count("*").alias("size")).filter("size > 1"), "leads")
-    may = _may_link(*(F.col(c) for c in ("n", "shared", "place")), *(F.col(f"lead.{c}") for c in ("n", "shared", "place")))
-    met = found.join(leads, "key").filter((F.col("_row") != F.col("lead._row")) & may).groupBy(F.col("lead._row").alias("a"), F.col("_row").alias("b")).agg(F.count("*").alias("times"))
-    met, _ = materialize(met, "met")
-    best = met.groupBy("b").agg(F.max(F.struct("times", (-F.col("a")).alias("a"))).alias("best")).select((-F.col("best.a")).alias("a"), "b")
-
-    links = _verified(best.unionByName(_simhash_pairs(nodes)), texts)
-    roots, _ = materialize(connected_components(links, "a", "b"), "roots")
-    links = links.unionByName(_verified(_apart(met.select("a", "b"), roots), texts))
-    roots, _ = materialize(connected_components(links, "a", "b"), "roots")
-    wide = found.join(leads.filter("size > 2").select("key"), "key", "left_semi")
-    links = links.unionByName(_verified(_open_pairs(wide, roots, marked), texts))
-    roots = connected_components(links, "a", "b")
+    roots = _components(found, nodes, marked, texts)
 
     of = _rooted(nodes, roots, "_row", "root")
     keep = of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))

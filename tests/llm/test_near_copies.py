@@ -94,5 +94,36 @@ def test_cells_pair_all_that_are_apart():
     assert 9 * np.bitwise_count(np.frombuffer(N.parities(np.arange(5, dtype=np.uint64)), np.uint64)).sum() == 45
 
 
+def far_first():
+    """A group of near copies whose first ones are alike to half of the others only."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    return [" ".join(edited(rng, base, n)) for n in [5] * 6 + [2, 4] * 40], 1
+
+
+def quoted():
+    """A group of near copies that a longer text quotes as a whole; what else is in it is more frequent."""
+    rng = random.Random(6)
+    base, more = [f"w{i}" for i in range(100)], [f"x{i}" for i in range(100)]
+    others = [" ".join(more + [f"y{k}-{i}" for i in range(100)]) for k in range(80)]
+    return [" ".join(base + more), *others, *(" ".join(edited(rng, base, 1)) for _ in range(70))], 82
+
+
+@pytest.mark.parametrize("corpus", [far_first, quoted])
+def test_a_group_takes_no_square_of_comparisons(spark, monkeypatch, corpus):
+    compared, open_pairs = [], N._open_pairs
+
+    def counted(*given):
+        pairs = open_pairs(*given).cache()
+        compared.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(N, "_open_pairs", counted)
+    texts, components = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert N.drop_near_copies(docs).count() == components
+    assert compared[0] <= 10 * len(texts)
+
+
 def test_empty(spark):
     assert N.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
