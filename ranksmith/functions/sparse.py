@@ -35,7 +35,7 @@ def term_frequencies(tokens: Column) -> Column:
         lengths = F.zip_with(starts, F.slice(ends, F.lit(1), F.size(starts)), lambda a, b: 1 + F.log((b - a).cast("double")))
         return F.map_from_arrays(F.transform(starts, lambda i: F.element_at(s, i)), lengths)
 
-    return let(F.array_sort(tokens), lambda s: let(runs(s), lambda starts: weights(s, starts)))
+    return let(F.sort_array(tokens), lambda s: let(runs(s), lambda starts: weights(s, starts)))
 
 
 def dot(query: Column, document: Column) -> Column:
@@ -71,32 +71,38 @@ def _ordered(m: Column) -> Column:
     return F.array_sort(F.map_entries(m), order)
 
 
-def prune(m: Column, prune_type: str, ratio: float | None = None) -> Column:
-    """The tokens that pruning keeps. Equal weights at the cut of ``top_k`` go by token."""
+def _parts(m: Column, prune_type: str, ratio: float | None) -> tuple[Column, Column]:
+    """The tokens that pruning keeps and those that it takes out, each in one pass over the entries."""
     check_prune(prune_type, ratio)
     if prune_type == "none":
-        return m
+        return m, F.map_filter(m, lambda k, v: F.lit(False))
+    if prune_type in ("abs_value", "max_ratio"):
+        least = F.lit(ratio) if prune_type == "abs_value" else F.array_max(F.map_values(m)) * ratio
+        return let(least, lambda x: F.map_filter(m, lambda _, v: v >= x)), let(least, lambda x: F.map_filter(m, lambda _, v: ~F.coalesce(v >= x, F.lit(False))))
     if prune_type == "top_k":
-        return F.map_from_entries(F.slice(_ordered(m), 1, int(ratio)))
-    if prune_type == "abs_value":
-        return F.map_filter(m, lambda _, v: v >= ratio)
-    if prune_type == "max_ratio":
-        return let(F.array_max(F.map_values(m)) * ratio, lambda least: F.map_filter(m, lambda _, v: v >= least))
+        return F.map_from_entries(F.slice(_ordered(m), 1, int(ratio))), let(_ordered(m), lambda o: F.map_from_entries(F.slice(o, F.lit(int(ratio) + 1), F.size(o))))
     start = F.struct(F.lit(0.0).alias("run"), F.lit(0).alias("n"))
 
-    def heaviest(ordered: Column, budget: Column) -> Column:
+    def number(ordered: Column, budget: Column) -> Column:
         # Prefixes whose mass stays within the budget; rounding of the running sum gets a small allowance.
-        within = F.aggregate(ordered, start, lambda s, e: F.struct((s["run"] + e["value"]).alias("run"), F.when(s["run"] + e["value"] <= budget, s["n"] + 1).otherwise(s["n"]).alias("n")))
-        return F.map_from_entries(F.slice(ordered, F.lit(1), within["n"]))
+        return F.aggregate(ordered, start, lambda s, e: F.struct((s["run"] + e["value"]).alias("run"), F.when(s["run"] + e["value"] <= budget, s["n"] + 1).otherwise(s["n"]).alias("n")), lambda s: s["n"])
+
+    budget = F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x) * ratio + 1e-9
+
+    def cut(piece) -> Column:
+        return let(budget, lambda most: let(_ordered(m), lambda o: let(number(o, most), lambda n: F.map_from_entries(piece(o, n)))))
 
-    total = F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x)
-    return let(total * ratio + 1e-9, lambda budget: let(_ordered(m), lambda ordered: heaviest(ordered, budget)))
+    return cut(lambda o, n: F.slice(o, F.lit(1), n)), cut(lambda o, n: F.slice(o, n + 1, F.size(o)))
+
+
+def prune(m: Column, prune_type: str, ratio: float | None = None) -> Column:
+    """The tokens that pruning keeps. Equal weights at the cut of ``top_k`` go by token."""
+    return _parts(m, prune_type, ratio)[0]
 
 
 def split(m: Column, prune_type: str, ratio: float | None = None) -> tuple[Column, Column]:
     """The pruned map and the tokens that pruning took out."""
-    high = prune(m, prune_type, ratio)
-    return high, let(high, lambda h: F.map_filter(m, lambda k, _: ~F.map_contains_key(h, k)))
+    return _parts(m, prune_type, ratio)
 
 
 def quantize(weight: Column, ceiling: float = CEILING_INGEST) -> Column:

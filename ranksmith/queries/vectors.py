@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ranksmith.functions import sparse, text, vectors
+from ranksmith.functions.binding import once
 from ranksmith.operators import retrieval, sparse_index
 from ranksmith.plans.engine import Engine
 from ranksmith.queries.registry import Registry, Tables
@@ -45,7 +46,7 @@ select doc_id, round(1 / (1 + list_reduce(d, lambda a, b: a + b)), 6) as l1, rou
 
 def encoded(t: Tables) -> DataFrame:
     """Documents with token weights ``1 + ln(count)``."""
-    return t.documents.select("doc_id", sparse.term_frequencies(text.tokens(F.col("text"))).alias("tokens"))
+    return t.documents.select("doc_id", once(sparse.term_frequencies(text.tokens(F.col("text")))).alias("tokens"))
 
 
 def asked(t: Tables, terms) -> DataFrame:
@@ -93,7 +94,7 @@ select doc_id, round(score + coalesce(extra, 0), 6) as score from one left join
 
 def _pruned(kind: str, ratio: float):
     def build(t: Tables) -> DataFrame:
-        pruned = encoded(t).select("doc_id", sparse.prune(F.col("tokens"), kind, ratio).alias("tokens"))
+        pruned = encoded(t).select("doc_id", once(sparse.prune(F.col("tokens"), kind, ratio)).alias("tokens"))
         return pruned.select("doc_id", F.explode("tokens").alias("token", "weight")).withColumn("weight", F.round("weight", 6))
 
     return build
@@ -112,9 +113,8 @@ for (_kind, _ratio), _condition in _KEPT.items():
 
 def _split(t: Tables) -> DataFrame:
     high, low = sparse.split(F.col("tokens"), "max_ratio", 0.6)
-    both = encoded(t).select("doc_id", high.alias("h"), low.alias("l"))
-    part = lambda c: both.select("doc_id", F.lit(c).alias("part"), F.explode(c).alias("token", "weight"))
-    return part("h").unionByName(part("l")).withColumn("weight", F.round("weight", 6))
+    parts = encoded(t).select("doc_id", F.explode_outer(F.create_map(F.lit("h"), high, F.lit("l"), low)).alias("part", "tokens"))
+    return parts.select("doc_id", "part", F.explode("tokens").alias("token", "weight")).withColumn("weight", F.round("weight", 6))
 
 
 R.add("prune_split", _split, f"with {_ENTRIES} select doc_id, case when weight >= max(weight) over (partition by doc_id) * 0.6 then 'h' else 'l' end as part, token, round(weight, 6) as weight from ent")
