@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ranksmith.functions import sparse, text, vectors
+from ranksmith.functions.binding import once
 
 DIGITS = 6
 K1, B = 1.2, 0.75
@@ -44,7 +45,8 @@ def knn(corpus: DataFrame, query: Sequence[float] | Column, k: int | None = None
 def sparse_match(corpus: DataFrame, query: Mapping[str, float] | Column, vector: str = "tokens", doc_id: str = "doc_id", boost: float = 1.0) -> DataFrame:
     """Documents that share a token with the query, scored by the dot product."""
     q = query if isinstance(query, Column) else sparse.literal(query)
-    return _scored(corpus, doc_id, sparse.dot(q, F.col(vector)) * boost).filter("score > 0")
+    score = F.round(sparse.dot(q, F.col(vector)) * boost, DIGITS)
+    return corpus.select(F.col(doc_id).alias("doc_id"), once(score).alias("score")).filter("score > 0")
 
 
 def analyzed_query(text_query: str, weights: Mapping[str, float] | None = None) -> dict[str, float]:

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ranksmith.functions import sparse, vectors
 from ranksmith.functions import text as X
-from ranksmith.functions import vectors
+from ranksmith.functions.binding import once
 from ranksmith.operators import fusion, post, retrieval, shaping, sparse_index, two_phase
 from ranksmith.operators.ingest import SEMANTIC_SUFFIX
 from ranksmith.operators.models import ModelRegistry
@@ -268,8 +269,34 @@ class Engine:
         head = retrieval.top(found, spec["window"]).select("doc_id")
         inside = Engine(self.corpus.join(F.broadcast(head), "doc_id", "left_semi"), self.models, self.space)  # at most max_window_size rows
         more = _union([inside.scored(q) for q in spec["queries"]]).groupBy("doc_id").agg(F.sum("score").alias("score"))
+        if spec.get("closed"):
+            first = retrieval.top(found, spec["window"]).join(F.broadcast(more.withColumnRenamed("score", "_second")), "doc_id", "left")
+            return F.broadcast(first.select("doc_id", F.round(F.col("score") + F.coalesce("_second", F.lit(0.0)) * spec["weight"], retrieval.DIGITS).alias("score")))
         return shaping.rescore(found, more, spec["window"], 1.0, spec["weight"])
 
+    @staticmethod
+    def _closed(request: Mapping, spec: Mapping) -> bool:
+        """Whether the page comes from the window alone: it ends within it, and no light token takes anything from a score."""
+        plain = not any(request.get(k) for k in ("search_after", "collapse", "rescore"))
+        bodies = [dsl.field_body("neural_sparse", q["neural_sparse"])[1] for q in spec["queries"]]
+        rising = spec["weight"] >= 0 and all(b["boost"] >= 0 and min(b["query_tokens"].values()) >= 0 for b in bodies)
+        return plain and rising and request.get("from", 0) + request.get("size", 10) <= spec["window"]
+
+    def _both_phases(self, request: Mapping, spec: Mapping) -> DataFrame | None:
+        """The window of one sparse query with heavy and light tokens scored in one pass over the corpus; None for other queries."""
+        kind, body = dsl.clause(request["query"])
+        if kind != "neural_sparse" or request.get("post_filter"):
+            return None
+        name, s = dsl.field_body(kind, body)
+        target, chunked, _ = self._target(name, self.corpus)
+        if chunked:
+            return None
+        light = dsl.field_body(kind, spec["queries"][0][kind])[1]
+        score = lambda q: F.round(sparse.dot(sparse.literal(q["query_tokens"]), F.col(target)) * q["boost"], retrieval.DIGITS)
+        rows = self.corpus.select("doc_id", once(F.struct(score(s).alias("score"), score(light).alias("_second"))).alias("_s")).select("doc_id", "_s.*")
+        first = retrieval.top(rows.filter("score > 0"), spec["window"])
+        return F.broadcast(first.select("doc_id", F.round(F.col("score") + F.col("_second") * spec["weight"], retrieval.DIGITS).alias("score")))
+
     # The whole request.
     def _lists(self, query: Mapping, after: Mapping | None = None) -> list[DataFrame]:
         """The scored lists of a hybrid query's sub-queries, or the only one of another query. The post filter ``after`` narrows them
@@ -330,7 +357,11 @@ class Engine:
         dsl.check_request(request)
         sort = [_sort_of(s) for s in dsl.as_list(request.get("sort"))] or list(shaping.BY_SCORE)
         if "score" in [c for c, _ in sort]:
-            found = self.hits(request, pipeline)
+            spec = request.get("_second_phase")
+            if spec and sort == list(shaping.BY_SCORE):
+                request["_second_phase"] = spec = {**spec, "closed": self._closed(request, spec)}
+            found = self._both_phases(request, spec) if spec and spec.get("closed") else None
+            found = self.hits(request, pipeline) if found is None else found
             if request.get("min_score") is not None:
                 found = shaping.at_least(found, request["min_score"])
             out = found.join(self.corpus, "doc_id")

@@ -114,3 +114,20 @@ def test_term_spans_match_a_regex(spark):
     none = F.array().cast("array<struct<start:int,end:int>>")
     assert value(spark, highlight(F.lit("a<b"), none)) is None
     assert value(spark, highlight(F.lit("a<b"), none, encoder="html", no_match_size=2)) == "a&lt;"
+
+
+def test_expensive_columns_are_computed_once(spark, tmp_path):
+    """No plan of a sparse query tokenizes a text again for a filter or for a second part of the result."""
+    from ranksmith.queries import vectors as queries
+
+    spark.createDataFrame([(1, "the idiot of the to and"), (2, "pathetic"), (3, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("sparse_encode_tf", "prune_top_k", "prune_max_ratio", "prune_alpha_mass", "prune_split", "sparse_dot", "sparse_two_phase"):
+        plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_extract_all") == 1, name
+
+
+@pytest.mark.parametrize("kind, ratio", [("none", None), ("top_k", 2), ("max_ratio", 0.6), ("abs_value", 1.5), ("alpha_mass", 0.6)])
+def test_split_is_prune_and_the_rest(spark, kind, ratio):
+    for given in ({}, {"a": 3.0, "b": 1.5, "c": 2.0, "d": 1.5}, {"a": 1.0}):
+        high, low = (value(spark, c) for c in sparse.split(sparse.literal(given), kind, ratio))
+        assert high == value(spark, sparse.prune(sparse.literal(given), kind, ratio)) and {**high, **low} == given and not set(high) & set(low)
