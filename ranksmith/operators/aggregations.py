@@ -46,11 +46,46 @@ def scripted(rows: DataFrame, map_: Column, combine=F.sum) -> DataFrame:
     return rows.agg(combine(map_).alias("value"))
 
 
+CELLS, LEVELS = 4096, 2
+
+
 def percentiles(rows: DataFrame, column: str, percents: Sequence[float]) -> DataFrame:
-    """Exact percentiles, linearly interpolated, one row for each."""
-    all_of_them = rows.agg(*[F.percentile(F.col(column).cast("double"), F.lit(p / 100.0)).alias(f"p{i}") for i, p in enumerate(percents)])
-    pairs = F.array(*[F.struct(F.lit(float(p)).alias("percent"), F.col(f"p{i}").alias("value")) for i, p in enumerate(percents)])
-    return all_of_them.select(F.inline(pairs))
+    """Exact percentiles, linearly interpolated, one row for each.
+
+    No task holds all values: they are counted by value, then each wanted place narrows to one of ``CELLS`` equal cells between
+    the least and the largest value, ``LEVELS`` times, by tables of one row for each cell. Only values of the last cells are
+    put in order."""
+    spark = rows.sparkSession
+    x = F.col(column).cast("double")
+    counts = rows.filter(x.isNotNull()).groupBy(x.alias("x")).agg(F.count("*").alias("n"))
+    whole = counts.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("total"))  # one row
+    wanted = spark.createDataFrame([(i, float(p), side) for i, p in enumerate(percents) for side in (0, 1)], "i int, percent double, side int")
+    at = (F.col("total") - 1) * (F.col("percent") / 100.0)
+    rank = F.when(F.col("side") == 0, F.floor(at)).otherwise(F.ceil(at))
+    # A place: its rank (from 0) among all, the cell that holds it and the number of values before that cell.
+    places = wanted.join(F.broadcast(whole), how="left").select("i", "side", "percent", at.alias("at"), rank.alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("before"))
+
+    def values(p: DataFrame, *kept: str) -> DataFrame:
+        cells = p.select("lo", "hi", "before", *kept).distinct()  # two for each percent at most
+        return counts.join(F.broadcast(cells), (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+
+    for _ in range(LEVELS):
+        # Halves, as the width of a cell may be beyond the largest double; monotone in x, so cells are in order.
+        share = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        cell = F.when(F.col("hi") > F.col("lo"), F.coalesce(F.least(F.floor(share * CELLS), F.lit(CELLS)), F.lit(0))).otherwise(0)
+        cells = values(places).groupBy("lo", "hi", "before", cell.alias("cell")).agg(F.min("x").alias("lo2"), F.max("x").alias("hi2"), F.sum("n").alias("n"))
+        run = Window.partitionBy("lo", "hi", "before").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)  # CELLS + 1 rows at most
+        cells = cells.withColumn("end", F.col("before") + F.sum("n").over(run)).select("lo", "hi", "before", "lo2", "hi2", "n", "end")
+        found = F.broadcast(places).join(cells, ["lo", "hi", "before"]).filter((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("n")))
+        places = found.select("i", "side", "percent", "at", "rank", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), (F.col("end") - F.col("n")).alias("before"))
+    run = Window.partitionBy("lo", "hi", "before").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    ends = values(places).withColumn("end", F.col("before") + F.sum("n").over(run))
+    found = F.broadcast(places).join(ends, ["lo", "hi", "before"]).filter((F.col("rank") < F.col("end")) & (F.col("rank") >= F.col("end") - F.col("n")))
+    both = found.groupBy("i").agg(F.max(F.when(F.col("side") == 0, F.col("x"))).alias("low"), F.max(F.when(F.col("side") == 1, F.col("x"))).alias("high"), F.max("at").alias("at"))
+    part = F.col("at") - F.floor("at")
+    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise((1 - part) * F.col("low") + part * F.col("high"))
+    order = wanted.filter("side = 0").select("i", "percent")
+    return order.join(both, "i", "left").select("percent", value.alias("value"))
 
 
 def percentile_ranks(rows: DataFrame, column: str, values: Sequence[float]) -> DataFrame:
